@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from loomwork.llm.best_fit_packing import op10_best_fit_packing
+from loomwork.llm.quality_rules import op7_quality_rules
 from loomwork.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}

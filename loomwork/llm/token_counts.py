@@ -223,14 +223,13 @@ class TokenCounter:
             now = self.to[at]
         return np.flatnonzero(np.ascontiguousarray(flags.T).reshape(-1)[:n])
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text; a special string counts as one token and splits the text, as the library's default has it."""
-        pieces, owner, total = [], [], np.zeros(len(texts), np.int64)
+    def split(self, texts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+        """Pieces of texts between special strings: whose they are, all joined, where pretokens begin, where pieces end."""
+        pieces, owner = [], []
         for i, text in enumerate(texts):
             parts = [text]
             for s in self.special:
                 parts = [p for part in parts for p in part.split(s)] if s in text else parts
-            total[i] += len(parts) - 1
             pieces += parts
             owner += [i] * len(parts)
         # Each piece ends with a character of class END.
@@ -240,16 +239,34 @@ class TokenCounter:
         symbols[ends] = END
         symbols[:-1] = symbols[:-1] * 16 + symbols[1:]
         symbols[-1] = END * 16 + END
-        at = self.starts(symbols)
+        return owner, joined, self.starts(symbols), ends
+
+    def pretokens(self, texts: list[str]) -> list[tuple[int, list[str]]]:
+        """(text, pretokens) of each piece between special strings."""
+        if not texts:
+            return []
+        owner, joined, at, ends = self.split(texts)
+        words = list(map(joined.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist())))
+        last = np.searchsorted(at, ends).tolist()
+        return [(i, words[a:b]) for i, a, b in zip(owner, [0, *(x + 1 for x in last)], last)]
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text; a special string counts as one token and splits the text, as the library's default has it."""
+        total = np.full(len(texts), -1, np.int64)
+        if not texts:
+            return total
+        owner, joined, at, ends = self.split(texts)
         if len(self.known) > MOST_PRETOKENS:
             self.known.clear()
-        words = map(joined.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist()))
         counts = np.zeros(len(at), np.int64)
-        is_end = np.isin(at, ends, assume_unique=True)
-        inner = ~is_end[:-1]
-        counts[:-1][inner] = np.fromiter(map(self.known.__getitem__, (w for w, keep in zip(words, inner.tolist()) if keep)), np.int64, int(inner.sum()))
-        per_piece = np.add.reduceat(counts, np.searchsorted(at, ends - [len(p) for p in pieces])) if len(at) else np.zeros(0, np.int64)
-        np.add.at(total, owner, per_piece)
+        last = np.searchsorted(at, ends)
+        inner = np.ones(len(at), bool)
+        inner[last] = False
+        inner = np.flatnonzero(inner)
+        words = map(joined.__getitem__, map(slice, at[inner].tolist(), at[inner + 1].tolist()))
+        counts[inner] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(inner))
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        np.add.at(total, owner, 1 + sums[last] - sums[np.concatenate([[0], last[:-1] + 1])])
         return total
 
 
