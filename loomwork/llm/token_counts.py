@@ -241,15 +241,6 @@ class TokenCounter:
         symbols[-1] = END * 16 + END
         return owner, joined, self.starts(symbols), ends
 
-    def pretokens(self, texts: list[str]) -> list[tuple[int, list[str]]]:
-        """(text, pretokens) of each piece between special strings."""
-        if not texts:
-            return []
-        owner, joined, at, ends = self.split(texts)
-        words = list(map(joined.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist())))
-        last = np.searchsorted(at, ends).tolist()
-        return [(i, words[a:b]) for i, a, b in zip(owner, [0, *(x + 1 for x in last)], last)]
-
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; a special string counts as one token and splits the text, as the library's default has it."""
         total = np.full(len(texts), -1, np.int64)
