@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from loomwork.llm.common import by_text, slices, stored, table
 from loomwork.llm.token_counts import byte_alphabet
 
-CAPACITY, END_ID, GROUPS, SMALL_SHARE = 1024, 2, 128, 3
+CAPACITY, END_ID, GROUPS, SMALL_SHARE = 1024, 2, 256, 3
 PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
 PIECE_DDL = ", ".join(f"{f.name} long" for f in PIECE)
 
@@ -93,31 +93,33 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     s = np.array(sizes)
     # Demands differ by a hair, so that no step is idle; a few thousand steps bound the work whatever the lengths are.
     need = np.array(demand, float) * (1 + 1e-6 * np.modf(np.arange(1, k + 1) * 0.6180339887498949)[0])
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1 / np.diag(basis))
+    rest = np.arange(capacity + 1) - s[:, None]
+    fits, rest = rest >= 0, np.maximum(rest, 0)
     for _ in range(12 * k):
-        worth = np.ones(k) @ inverse
-        value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(s.min()), capacity + 1):
-            fits = s <= c
-            gains = np.where(fits, value[np.where(fits, c - s, 0)] + worth, -1)
-            best = int(gains.argmax())
-            value[c] = value[c - 1]
-            if gains[best] > value[c]:
-                value[c], choice[c] = gains[best], best
+        worth = inverse.sum(axis=0)
+        value, choices = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(s.min())):  # the best configuration of one more slot at most
+            gains = np.where(fits, value[rest] + worth[:, None], -1)
+            best = gains.argmax(axis=0)
+            gain = np.take_along_axis(gains, best[None], axis=0)[0]
+            choices.append(np.where(gain > value, best, -1))
+            value = np.maximum(gain, value)
         if value[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-                continue
-            column[choice[c]] += 1
-            c -= sizes[choice[c]]
-        direction, amounts = inverse @ column, inverse @ need
+        for choice in reversed(choices):
+            if choice[c] >= 0:
+                column[choice[c]] += 1
+                c -= sizes[choice[c]]
+        direction, amounts = (inverse * column).sum(axis=1), (inverse * need).sum(axis=1)
         ratios = np.where(direction > 1e-9, amounts / np.where(direction > 1e-9, direction, 1), np.inf)
-        basis[:, int(ratios.argmin())] = column
-        inverse = np.linalg.inv(basis)
-    return [(float(x), basis[:, j].astype(int).tolist()) for j, x in enumerate(inverse @ need) if x > 0]
+        out = int(ratios.argmin())
+        basis[:, out] = column
+        pivot = inverse[out] / direction[out]
+        inverse -= direction[:, None] * pivot
+        inverse[out] = pivot
+    return [(float(x), basis[:, j].astype(int).tolist()) for j, x in enumerate((inverse * need).sum(axis=1)) if x > 0]
 
 
 class Plan:
