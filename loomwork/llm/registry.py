@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from loomwork.llm.best_fit_packing import op10_best_fit_packing
 from loomwork.llm.chat_formatting import op5_chat_formatting
+from loomwork.llm.exact_top_k import op9_exact_top_k
 from loomwork.llm.quality_rules import op7_quality_rules
 from loomwork.llm.source_mixing import op6_source_mixing
 from loomwork.llm.token_counts import op1_token_counts
+from loomwork.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
