@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomwork.llm.best_fit_packing import op10_best_fit_packing
 from loomwork.llm.chat_formatting import op5_chat_formatting
 from loomwork.llm.exact_top_k import op9_exact_top_k
+from loomwork.llm.near_duplicates import op8_near_duplicates
 from loomwork.llm.quality_rules import op7_quality_rules
 from loomwork.llm.source_mixing import op6_source_mixing
 from loomwork.llm.token_counts import op1_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
