@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from loomwork.llm import line_dedup
 from loomwork.llm.best_fit_packing import op10_best_fit_packing
 from loomwork.llm.chat_formatting import op5_chat_formatting
 from loomwork.llm.exact_top_k import op9_exact_top_k
 from loomwork.llm.near_duplicates import op8_near_duplicates
 from loomwork.llm.quality_rules import op7_quality_rules
+from loomwork.llm.secret_scan import op3_secret_scan
 from loomwork.llm.source_mixing import op6_source_mixing
 from loomwork.llm.token_counts import op1_token_counts
 from loomwork.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_source_mixing": op6_source_mixing,
@@ -22,4 +26,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL}
