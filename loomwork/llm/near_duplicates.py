@@ -11,8 +11,9 @@ Jaccard similarity. ``BANDS`` bands of ``ROWS`` coordinates make buckets; a pair
 Equal texts are one node from the start. In each round every bucket that still holds several classes pairs its members
 with one leader, so pairs are linear in members however large a bucket is; pairs pass a check of sizes, one of a byte
 per coordinate (below 0.6 of agreement nothing at 0.8 is to be expected), and an exact one: the weighted Jaccard
-similarity of all shingles, by 32-bit hashes. Links make classes by connected components. Rounds choose other leaders
-until one links nothing new.
+similarity of all shingles, by 32-bit hashes. Links make classes by connected components. The first round's leaders are
+least keys (few different pairs); later ones are drawn per bucket, so a class meets many leaders at once. Pairs are tried
+once, and rounds end when one links nothing new.
 
 Defined results: null texts are classes of their own, named by their id; texts without words equal only each other if
 they are the same string; repeated rows give repeated rows of one class; ties (equal least ids) are the same class id;
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,34 +35,48 @@ from loomwork.llm.common import shipped, slices, stored, table
 from loomwork.llm.components import connected
 from loomwork.llm.quality_rules import BASE, mixed
 
-SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE, MOST_ROUNDS = 5, 0.8, 25, 5, 0.6, 12
+SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 25, 5, 0.6
 K = BANDS * ROWS
 SLOT_SHIFT = np.uint64(44)
 MOST_TEXTS = (1 << 20) // K
 
 
-class WordCodes(dict):
-    """64-bit hashes of the words met lately."""
+_white = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_byte_codes = mixed(np.arange(256))
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i mod 2^64 for i below n."""
+    if len(_powers["up"]) < n:
+        for name, base in (("up", int(BASE)), ("down", pow(int(BASE), -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps)
+    return _powers["up"][:n], _powers["down"][:n]
 
-_codes = WordCodes()
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and how many each text has: polynomials over the bytes, as differences of one
+    running sum over the whole slice."""
+    encoded = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    white = _white[data]
+    edge = np.flatnonzero(np.diff(np.r_[True, white].view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers(len(data))
+    sums = np.r_[np.uint64(0), np.cumsum(_byte_codes[data] * up)]
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    bounds = np.cumsum([len(e) + 1 for e in encoded])
+    return hashes, np.diff(np.r_[0, np.searchsorted(starts, bounds)])
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each unit of weight: the j-th time that a text has a shingle counts as another unit."""
-    if len(_codes) > 300_000:
-        _codes.clear()
-    words, sizes = [], []
-    for t in texts:
-        own = t.encode().split()
-        words += own
-        sizes.append(len(own))
-    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    size, owner = np.array(sizes, np.int64), np.repeat(np.arange(len(texts)), sizes)
+    codes, size = word_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), size)
     begin = np.cumsum(size) - size
     at = np.arange(len(codes))
     at = at[at - begin[owner] <= np.maximum(size[owner] - SHINGLE, 0)]
@@ -183,9 +198,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     tried: DataFrame | None = None
     roots: DataFrame | None = None
     owned: DataFrame | None = None
-    for turn in range(MOST_ROUNDS):
+    for turn in count():
         now = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, members.key == roots.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        order = F.struct(F.xxhash64(F.lit(turn), "key") if turn else F.lit(0).cast("long"), F.col("key"), F.col("root"))
+        order = F.struct(F.xxhash64(F.lit(turn), "bucket", "key") if turn else F.lit(0).cast("long"), F.col("key"), F.col("root"))
         split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket", "lead.key", "lead.root").toDF("bucket", "lead", "lead_root")
         pairs = now.join(split, "bucket").where("root != lead_root").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
         if tried is not None:
