@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from loomwork.plans import graphs, mining, ratings, streams, summaries
+
+MODULES = (summaries, mining, graphs, ratings, streams)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
