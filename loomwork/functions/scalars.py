@@ -52,7 +52,7 @@ def price_range(attributes: Column, key: str = "RestaurantsPriceRange2") -> Colu
 def category_flag(categories: Column, name: str, trim: bool = True) -> Column:
     """0 without categories, 2 if ``name`` is among them, else 1. Without trim, a name after ', ' does not match."""
     names = F.split(categories, ",")
-    names = F.transform(names, F.trim) if trim else names
+    names = F.transform(names, lambda x: F.trim(x)) if trim else names
     return F.when(categories.isNull(), 0).when(F.array_contains(names, name), 2).otherwise(1)
 
 
