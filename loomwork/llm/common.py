@@ -31,18 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def stored(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so that a lost executor costs no
-    earlier stage. The files go when the application ends."""
+    earlier stage. The files go when the application ends, or, noted in scratch, with ``dropped``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    files, hadoop_path = _file_system(spark, path)
+    files.deleteOnExit(hadoop_path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in scratch:
+        files, hadoop_path = _file_system(spark, path)
+        files.delete(hadoop_path, True)
+    scratch.clear()
+
+
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, end row, texts) of a batch, of about SLICE_CHARS each; null is read as the empty text.
     A text is never cut: a longer one makes a slice of its own."""

@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import shipped, slices, stored, table
+from loomwork.llm.common import dropped, shipped, slices, stored, table
 from loomwork.llm.components import connected
 from loomwork.llm.quality_rules import BASE, mixed
 
 SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 25, 5, 0.6
+#: Counted rows of a few numbers each (tens of MB) up to which a side is broadcast.
+BROADCAST_ROWS = 1_000_000
 K = BANDS * ROWS
 SLOT_SHIFT = np.uint64(44)
 MOST_TEXTS = (1 << 20) // K
@@ -151,8 +153,9 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if len(b):
-            a, c = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(len(b), K) for n in ("small_a", "small_b"))
-            keep = (a == c).sum(axis=1) >= PLAUSIBLE * K
+            x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(len(b), K) for n in ("small_a", "small_b"))
+            m, n = (b.column(c).to_numpy() for c in ("units_a", "units_b"))
+            keep = ((x == y).sum(axis=1) >= PLAUSIBLE * K) & (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n))
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -164,7 +167,7 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((small, text))
             edges = np.searchsorted(text, np.arange(len(texts) + 1))
             small = small[order]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([small[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], names=["key", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([small[x:y].tobytes() for x, y in zip(edges, edges[1:])], pa.binary())], names=["node", "own"])
 
 
 def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,52 +188,60 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def counted(df: DataFrame, n: int) -> DataFrame:
+    """df, for a broadcast if its counted rows (a few numbers each) are few enough; else Spark chooses another join."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def linked(pairs: DataFrame, n: int, held: DataFrame, check, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) that pass check, which sees held's columns of both. Only what pairs name is moved."""
+    sides = [counted(pairs, n).join(held.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x) for x in "ab"]
+    both = sides[0].join(sides[1], ["a", "b"])
+    return both.mapInArrow(check, "a long, b long")
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, doc_id) of each row with a text, and (key, class_key, class_id) of each different text."""
     shipped(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("key", text_key(F.col("text")))
     rows = stored(docs.select("key", "doc_id", "text").mapInArrow(_signed, "key binary, doc_id long, units long, small binary, bands array<long>"), "signed")
-    nodes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("units").alias("units"), F.first("small").alias("small"), F.first("bands").alias("bands")), "nodes")
-    cells = nodes.select("key", F.explode("bands").alias("bucket"))
+    nodes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("units").alias("units"), F.first("small").alias("small"), F.first("bands").alias("bands"))
+    scratch: list[str] = []
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", scratch)
+    cells = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(cells.join(shared, "bucket"), "members")
+    members = stored(cells.join(shared, "bucket"), "members", scratch)
+    about = stored(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "about", scratch)
+    wanted = counted(about.select("key", "least", "node"), about.count())
+    texts = docs.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+    owned = stored(texts.mapInArrow(_units, "node long, own binary").dropDuplicates(["node"]), "units", scratch)
     links: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
-    owned: DataFrame | None = None
     for turn in count():
-        now = members.withColumn("root", F.col("key")) if roots is None else members.join(roots, members.key == roots.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        order = F.struct(F.xxhash64(F.lit(turn), "bucket", "key") if turn else F.lit(0).cast("long"), F.col("key"), F.col("root"))
-        split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket", "lead.key", "lead.root").toDF("bucket", "lead", "lead_root")
-        pairs = now.join(split, "bucket").where("root != lead_root").select(F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        about = nodes.select("key", "units", "small")
-        pairs = pairs.join(about.toDF("a", "units_a", "small_a"), "a").join(about.toDF("b", "units_b", "small_b"), "b")
-        pairs = pairs.where(F.least("units_a", "units_b") >= SIMILARITY * F.greatest("units_a", "units_b"))
-        pairs = stored(pairs.select("a", "b", "small_a", "small_b").mapInArrow(_plausible, "a binary, b binary"), "pairs")
+        now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        order = F.struct(F.xxhash64(F.lit(turn), "bucket", "node") if turn else F.lit(0).cast("long"), F.col("node"), F.col("root"))
+        split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.max(order).alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+        split = split.select("bucket", F.explode(F.array("lead", "last")).alias("lead")).select("bucket", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+        pairs = now.join(split, "bucket").where("root != lead_root").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", scratch)
         if pairs.isEmpty():
             break
-        tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        wanted = pairs.select("a").union(pairs.select("b")).toDF("key").distinct()
-        if owned is not None:
-            wanted = wanted.join(owned.select("key"), "key", "left_anti")
-        wanted = wanted.join(nodes.select("key", "least"), "key")
-        texts = docs.join(wanted, (docs.key == wanted.key) & docs.doc_id.eqNullSafe(wanted.least), "left_semi").select("key", "text")
-        fresh = stored(texts.mapInArrow(_units, "key binary, own binary").dropDuplicates(["key"]), "units")
-        owned = fresh if owned is None else owned.unionByName(fresh)
-        held = pairs.join(owned.toDF("b", "own_b"), "b").join(owned.toDF("a", "own_a"), "a")
-        new = stored(held.select("a", "b", "own_a", "own_b").mapInArrow(_similar, "a binary, b binary"), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        likely = stored(linked(pairs, pairs.count(), about, _plausible, ["units", "small"]), "likely", scratch)
+        new = stored(linked(likely, likely.count(), owned, _similar, ["own"]), "links", scratch)
         if new.isEmpty():
             if turn:
                 break
             continue
-        links = new if links is None else stored(links.unionByName(new), "links")
-        roots = stored(connected(links.toDF("u", "v")), "roots")
-    named = nodes.select("key", "least")
-    named = named.withColumn("root", F.col("key")) if roots is None else named.join(roots, named.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+        links = new if links is None else links.unionByName(new)
+        roots = stored(connected(links.toDF("u", "v"), scratch), "roots", scratch)
+    named = nodes.select("key", "least", "node")
+    named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))
-    return rows.select("key", "doc_id"), stored(named.join(best, "root").select("key", F.col("best.key").alias("class_key"), F.col("best.least").alias("class_id")), "classes")
+    named = stored(named.join(best, "root").select("key", F.col("best.key").alias("class_key"), F.col("best.least").alias("class_id")), "classes")
+    dropped(df.sparkSession, scratch)
+    return rows.select("key", "doc_id"), named
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
