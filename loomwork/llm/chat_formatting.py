@@ -6,7 +6,8 @@ bytes of headers, texts and footers into one preallocated buffer, which becomes
 mask is a list of (start, end) code points per conversation: the texts of assistant turns.
 
 Escaping puts a backslash behind the first character of a control string and doubles every backslash, so a formatted
-text holds no control string but the template's, and ``unescaped`` gives the text back.
+text holds no control string but the template's, and ``unescaped`` gives the text back; a line break in a role, which
+would end the header, becomes a backslash and n.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; repeated rows
 are turns of their own; rows with a null conversation id are one conversation with a null id; an empty table gives an
@@ -40,7 +41,7 @@ def escaped(texts: pa.Array) -> pa.Array:
 
 
 def unescaped(text: str) -> str:
-    return re.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
+    return re.sub(r"\\(\\|n)?", lambda m: {"\\": "\\", "n": "\n"}.get(m[1], ""), text) if "\\" in text else text
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +61,7 @@ def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, offsets: np.ndarr
 def assembled(rows: pa.Table) -> pa.RecordBatch:
     """Whole conversations, sorted, to a batch of FORMATTED."""
     text, role = (escaped(pc.fill_null(rows.column(c).combine_chunks().cast(pa.large_string()), "")) for c in ("text", "role"))
+    role = pc.replace_substring(role, "\n", "\\n")
     head = pc.binary_join_element_wise(pa.scalar(OPEN, pa.large_string()), role, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string()))
     (hd, ho), (td, to), (fd, _) = raw(head), raw(text), raw(pa.array([CLOSE]))
     lengths = np.diff(ho) + np.diff(to) + len(fd)

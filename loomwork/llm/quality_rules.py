@@ -16,7 +16,6 @@ from collections import defaultdict
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,10 +121,10 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The verdict is a narrow UDF column, so rows are neither shuffled nor joined back by an id that may repeat."""
 
-    @F.pandas_udf("boolean")
-    def verdict(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0, bool), *(measures(part)[-1] for _, _, part in slices(batch, 0))]))
+    @F.arrow_udf("boolean")
+    def verdict(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0, bool), *(measures(part)[-1] for _, _, part in slices(batch, 0))]))
 
     return docs.where(verdict(F.col(text_col).cast("string")))
 
