@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,34 @@ def partition_sizes(df: DataFrame, n: int | None = None, by: Column | None = Non
     return dealt.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n_items"))
 
 
+def partition_report(df: DataFrame, key: str, n: int, by: Column) -> DataFrame:
+    """layout, n_partition, n_items (of each partition that has rows), exe_time: the seconds that the ten most frequent keys
+    take on df as it lies and on df dealt by ``by``."""
+    rows = []
+    for layout, dealt in (("default", df), ("customized", df.repartitionById(n, F.pmod(by, F.lit(n)).cast("int")))):
+        sizes = partition_sizes(dealt).orderBy("partition").collect()  # a row for each partition
+        rows.append((layout, len(sizes), [r["n_items"] for r in sizes], timed(top_k(count_by_key(dealt, key), "n", key))))
+    return df.sparkSession.createDataFrame(rows, "layout string, n_partition int, n_items array<long>, exe_time double")
+
+
+def timed(df: DataFrame) -> float:
+    """Seconds that computing every row takes; nothing is kept."""
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def top_k_timing(df: DataFrame, value: str, key: str, k: int = 10) -> DataFrame:
+    """m1: seconds for a full sort; m2: for the top k by per-partition heaps."""
+    full = df.orderBy(F.col(value).desc(), F.col(key).asc())
+    return df.sparkSession.createDataFrame([(timed(full), timed(top_k(df, value, key, k)))], "m1 double, m2 double")
+
+
+def most_frequent_value(df: DataFrame, group: str, value: str, weight: str) -> DataFrame:
+    """(group, value) with the highest weight in each group, the least value on ties."""
+    return df.groupBy(group).agg(F.min_by(value, F.struct(-F.col(weight), F.col(value))).alias(value))
+
+
 def enriched(df: DataFrame, dimension: DataFrame, on: str, fills: dict[str, Column | float]) -> DataFrame:
     """Left join; what is missing afterwards, or null in the dimension, becomes the fill."""
     joined = df.join(dimension, on, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.scalars import band_of_difference, trailing_zeros, utf8_mod
-from loomwork.operators import relational
+from loomwork.operators import itemsets, relational
 from loomwork.sources.readers import parquet
 
 
@@ -50,6 +50,28 @@ def custom_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return relational.partition_sizes(parquet(spark, sf, "events"), 4, F.ascii(F.col("user_id").cast("string")))
 
 
+def partition_report(spark: SparkSession, sf: str) -> DataFrame:
+    """U6, U7, SNK2: both layouts with their times."""
+    return relational.partition_report(parquet(spark, sf, "events"), "user_id", 4, F.ascii(F.col("user_id").cast("string")))
+
+
+def top_k_timing(spark: SparkSession, sf: str) -> DataFrame:
+    """A full sort against the top ten."""
+    return relational.top_k_timing(relational.count_by_key(parquet(spark, sf, "lineitem"), "l_partkey"), "n", "l_partkey")
+
+
+def favourite_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's most frequent event type."""
+    counts = parquet(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return relational.most_frequent_value(counts, "user_id", "event_type", "n")
+
+
+def dated_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    """P3, FL4: baskets keyed by day and user, with more than two kinds of items."""
+    events = parquet(spark, sf, "events").withColumn("basket_key", F.concat_ws("-", F.date_format("ts", "yyyy-MM-dd"), F.col("user_id").cast("string")))
+    return itemsets.baskets(events, "basket_key", "event_type", 2)
+
+
 def left_with_means(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's balance; customers that are missing get the mean."""
     customers = parquet(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
@@ -79,7 +101,7 @@ def json_field(spark: SparkSession, sf: str) -> DataFrame:
     return events.groupBy("event_type").agg(F.sum("k").alias("sum_k"), F.countDistinct("k").alias("n_k"))
 
 
-QUERIES = {f.__name__: f for f in (average_per_group, top_groups, review_counts, top_users, top_types, default_partitions, custom_partitions, left_with_means, lookup_counts, dense_index, scalar_functions, json_field)}
+QUERIES = {f.__name__: f for f in (average_per_group, top_groups, review_counts, top_users, top_types, default_partitions, custom_partitions, partition_report, top_k_timing, favourite_types, dated_baskets, left_with_means, lookup_counts, dense_index, scalar_functions, json_field)}
 
 AVERAGE = "SELECT n_name, round(avg(l_quantity), 6) AS average FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"
 ORACLES = {
@@ -89,6 +111,10 @@ ORACLES = {
     "top_users": "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "top_types": "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 10",
     "custom_partitions": "SELECT CAST(ascii(CAST(user_id AS VARCHAR)) % 4 AS INTEGER) AS partition, count(*) AS n_items FROM events GROUP BY 1",
+    "favourite_types": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1",
+    "dated_baskets": """
+WITH b AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '-' || CAST(user_id AS VARCHAR) AS basket, event_type AS item FROM events)
+SELECT basket, item FROM b WHERE basket IN (SELECT basket FROM b GROUP BY 1 HAVING count(*) > 2)""",
     "left_with_means": "WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 <> 0) SELECT o_orderkey, round(coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM c)), 4) AS balance FROM orders LEFT JOIN c ON o_custkey = c_custkey",
     "lookup_counts": "SELECT p_partkey, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1) ON p_partkey = l_partkey",
     "dense_index": "SELECT o_custkey AS value, dense_rank() OVER (ORDER BY o_custkey) - 1 AS index FROM (SELECT DISTINCT o_custkey FROM orders)",
