@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 from loomwork.llm.common import by_text, slices, stored, table
 from loomwork.llm.token_counts import byte_alphabet
 
-CAPACITY, END_ID, GROUPS, SMALL_SHARE = 1024, 2, 256, 3
+CAPACITY, END_ID, GROUPS, SMALL_SHARE = 1024, 2, 512, 2.5
 PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
 PIECE_DDL = ", ".join(f"{f.name} long" for f in PIECE)
 
@@ -125,7 +125,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 class Plan:
     """Which sequences take which ranks of each length. A group of like sequences is [first, number, filled]."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS, small_share: int = SMALL_SHARE):
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS, small_share: float = SMALL_SHARE):
         self.capacity, self.bins = capacity, 0
         #: (length, first rank, first sequence, pieces in each sequence, offset of the first piece)
         self.rows: list[tuple[int, int, int, int, int]] = []
@@ -133,7 +133,7 @@ class Plan:
         self.rank: dict[int, int] = defaultdict(int)
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first, number)]
         self.rooms: list[int] = []
-        self.pack_large(groups, capacity // small_share)
+        self.pack_large(groups, int(capacity / small_share))
         self.pack_rest()
 
     def take(self, length: int, number: int, first: int, each: int, offset: int) -> None:
