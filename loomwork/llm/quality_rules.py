@@ -131,3 +131,31 @@ def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+_W = r"[\x20\x09-\x0D]"
+
+
+def _covered_sql(n: int) -> str:
+    return f"""
+g{n} AS (SELECT rid, i, list_slice(ws, i, i + {n} - 1) AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {n} + 2)) AS i FROM w)),
+d{n} AS (SELECT rid, unnest(list(i)) AS i FROM g{n} GROUP BY rid, g HAVING count(*) > 1),
+p{n} AS (SELECT DISTINCT rid, unnest(range(i, i + {n})) AS p FROM d{n}),
+c{n} AS (SELECT rid, count(*) AS words, sum(length(ws[p])) AS chars FROM p{n} JOIN w USING (rid) GROUP BY rid)"""
+
+
+_LENGTHS = sorted({*MAX_COVERED, BASE_WINDOW})
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(t, '{_W}+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+{",".join(_covered_sql(n) for n in _LENGTHS)},
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c{BASE_WINDOW}.words, 0)::BIGINT AS n_repeat_words,
+    (coalesce(list_sum(list_transform(ls, lambda x: length(regexp_replace(x, '{_W}', '', 'g')))), 0) - coalesce(list_sum(list_transform(list_distinct(ls), lambda x: length(regexp_replace(x, '{_W}', '', 'g')))), 0))::BIGINT AS dup_line_chars,
+    {", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS covered_{n}" for n in MAX_COVERED)}
+  FROM d JOIN w USING (rid) JOIN l USING (rid) {" ".join(f"LEFT JOIN c{n} ON c{n}.rid = d.rid" for n in _LENGTHS)}),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND dup_line_chars <= {MAX_LINE_CHARS}::DOUBLE * word_chars AND n_symbols <= {MAX_SYMBOLS}::DOUBLE * word_chars
+  AND {" AND ".join(f"covered_{n} <= {most}::DOUBLE * word_chars" for n, most in MAX_COVERED.items())} AS kept FROM b
+"""
