@@ -8,12 +8,13 @@ each belongs to one of k coordinates, and the signature keeps the earliest of ea
 throws up to twice the rank, and so on). Two signatures agree in a coordinate with the probability of the weighted
 Jaccard similarity. ``BANDS`` bands of ``ROWS`` coordinates make buckets; a pair at 0.8 meets in one with 0.99995.
 
-Equal texts are one node from the start. In each round every bucket that still holds several classes pairs its members
-with one leader, so pairs are linear in members however large a bucket is; pairs pass a check of sizes, one of a byte
-per coordinate (below 0.6 of agreement nothing at 0.8 is to be expected), and an exact one: the weighted Jaccard
-similarity of all shingles, by 32-bit hashes. Links make classes by connected components. The first round's leaders are
-least keys (few different pairs); later ones are drawn per bucket, so a class meets many leaders at once. Pairs are tried
-once, and rounds end when one links nothing new.
+Equal texts are one node from the start. In the first round every bucket pairs its members with the one that meets most
+others over all buckets: of copies of one text, that is the text itself. Later rounds take buckets that still hold
+several classes; each class sends a member drawn by a hash of round and bucket, and one of them is paired with the
+others. So pairs are linear in members however large a bucket is. They pass a check of sizes, one of a byte per coordinate
+(below 0.65 of agreement nothing at 0.8 is to be expected), and an exact one: the weighted Jaccard similarity of all
+shingles, by 32-bit hashes. Links make classes by connected components. Pairs are tried once; rounds end when no pair is
+left or two in a row link nothing.
 
 Defined results: null texts are classes of their own, named by their id; texts without words equal only each other if
 they are the same string; repeated rows give repeated rows of one class; ties (equal least ids) are the same class id;
@@ -35,9 +36,11 @@ from loomwork.llm.common import dropped, shipped, slices, stored, table
 from loomwork.llm.components import connected
 from loomwork.llm.quality_rules import BASE, mixed
 
-SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 25, 5, 0.6
+SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 25, 5, 0.65
 #: Counted rows of a few numbers each (tens of MB) up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Rounds in a row that may link nothing before the last one ends the search.
+PATIENCE = 1
 K = BANDS * ROWS
 SLOT_SHIFT = np.uint64(44)
 MOST_TEXTS = (1 << 20) // K
@@ -209,32 +212,43 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     scratch: list[str] = []
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", scratch)
     cells = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(cells.join(shared, "bucket"), "members", scratch)
-    about = stored(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "about", scratch)
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    about = stored(nodes.drop("bands").join(central, "node"), "about", scratch)
+    members = members.select("bucket", "node").join(counted(about.select("node", "met"), about.count()), "node")
     wanted = counted(about.select("key", "least", "node"), about.count())
     texts = docs.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
     owned = stored(texts.mapInArrow(_units, "node long, own binary").dropDuplicates(["node"]), "units", scratch)
     links: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
+    idle = n_links = waiting = 0
     for turn in count():
         now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.struct(F.xxhash64(F.lit(turn), "bucket", "node") if turn else F.lit(0).cast("long"), F.col("node"), F.col("root"))
-        split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.max(order).alias("last"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        split = split.select("bucket", F.explode(F.array("lead", "last")).alias("lead")).select("bucket", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
+        if turn:  # each class of a bucket sends one member, another each round
+            drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "node").alias("draw"), "node")).alias("sent")
+            now = now.groupBy("bucket", "root").agg(drawn).select("bucket", "root", "sent.draw", "sent.node")
+        order = F.struct(F.col("draw") if turn else -F.col("met"), F.col("node"), F.col("root"))
+        split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+        split = split.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
         pairs = now.join(split, "bucket").where("root != lead_root").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", scratch)
-        if pairs.isEmpty():
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = stored(linked(pairs, pairs.count(), about, _plausible, ["units", "small"]), "likely", scratch)
+        likely = stored(linked(pairs, n_pairs, about, _plausible, ["units", "small"]), "likely", scratch)
         new = stored(linked(likely, likely.count(), owned, _similar, ["own"]), "links", scratch)
-        if new.isEmpty():
-            if turn:
-                break
-            continue
-        links = new if links is None else links.unionByName(new)
+        n_new = new.count()
+        idle = 0 if n_new else idle + 1
+        if idle > PATIENCE:
+            break
+        if n_new:
+            links, n_links, waiting = new if links is None else links.unionByName(new), n_links + n_new, waiting + n_new
+        if waiting * 50 > n_links:  # a few new links can wait: classes that are known late only cost pairs
+            roots, waiting = stored(connected(links.toDF("u", "v"), scratch), "roots", scratch), 0
+    if waiting:
         roots = stored(connected(links.toDF("u", "v"), scratch), "roots", scratch)
     named = nodes.select("key", "least", "node")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
