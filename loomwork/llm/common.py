@@ -15,6 +15,8 @@ from loomwork.sources.workers import shipped
 
 #: Characters of text that one numpy pass holds at a time.
 SLICE_CHARS = 1_000_000
+#: Files of a stored table whose rows are bounded by a count.
+LEAST_FILES, ROWS_PER_FILE = 8, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +39,13 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
 
 
-def stored(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, what: str, scratch: list[str] | None = None, rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so that a lost executor costs no
-    earlier stage. The files go when the application ends, or, noted in scratch, with ``dropped``."""
+    earlier stage. The files go when the application ends, or, noted in scratch, with ``dropped``.
+    rows, a bound on df's rows where one is known, keeps small tables in few files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, hadoop_path = _file_system(spark, path)

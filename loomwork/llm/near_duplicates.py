@@ -214,6 +214,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     cells = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(cells.join(shared, "bucket"), "members", scratch)
+    n_members = members.count()
     central = members.groupBy("node").agg(F.sum("n").alias("met"))
     about = stored(nodes.drop("bands").join(central, "node"), "about", scratch)
     members = members.select("bucket", "node").join(counted(about.select("node", "met"), about.count()), "node")
@@ -233,13 +234,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         split = now.groupBy("bucket").agg(F.min(order).alias("lead"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
         split = split.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.root").alias("lead_root"))
         pairs = now.join(split, "bucket").where("root != lead_root").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", scratch)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", scratch, n_members)
         n_pairs = pairs.count()
         if not n_pairs:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = stored(linked(pairs, n_pairs, about, _plausible, ["units", "small"]), "likely", scratch)
-        new = stored(linked(likely, likely.count(), owned, _similar, ["own"]), "links", scratch)
+        likely = stored(linked(pairs, n_pairs, about, _plausible, ["units", "small"]), "likely", scratch, n_pairs)
+        n_likely = likely.count()
+        new = stored(linked(likely, n_likely, owned, _similar, ["own"]), "links", scratch, n_likely)
         n_new = new.count()
         idle = 0 if n_new else idle + 1
         if idle > PATIENCE:
@@ -247,9 +249,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         if n_new:
             links, n_links, waiting = new if links is None else links.unionByName(new), n_links + n_new, waiting + n_new
         if waiting * 50 > n_links:  # a few new links can wait: classes that are known late only cost pairs
-            roots, waiting = stored(connected(links.toDF("u", "v"), scratch), "roots", scratch), 0
+            roots, waiting = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links), 0
     if waiting:
-        roots = stored(connected(links.toDF("u", "v"), scratch), "roots", scratch)
+        roots = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links)
     named = nodes.select("key", "least", "node")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))
