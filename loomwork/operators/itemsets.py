@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.graph import settled
+
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
     """Distinct (basket, item) rows of baskets with more than so many items."""
@@ -71,6 +73,14 @@ def son_itemsets(rows: DataFrame, support: int, most: int = 3) -> tuple[DataFram
     dealt = rows.repartition("basket")
     kind = rows.schema["item"].dataType.simpleString()
     candidates = dealt.mapInPandas(lambda frames: local_candidates(frames, support, total, most), f"items array<{kind}>").distinct()
-    wanted = candidates.select("items", F.size("items").alias("size"), F.explode("items").alias("item"))
-    counts = wanted.join(rows, "item").groupBy("items", "size", "basket").agg(F.count("*").alias("n")).where("n = size").groupBy("items").agg(F.count("*").alias("support"))
-    return candidates, supported(counts, support, False)
+    candidates = settled(candidates.withColumn("size", F.size("items")))
+    single = rows.select("basket", F.col("item").alias("next"), F.array("item").alias("items"))
+    of_size = lambda k: candidates.where(F.col("size") == k).select("items")
+    held = single.join(of_size(1), "items", "left_semi")
+    useful, counts = held.select("basket", "next"), held.groupBy("items").agg(F.count("*").alias("support"))
+    held = held.select("basket", "items")
+    for size in range(2, most + 1):  # what a basket holds of the candidates, each from its shorter beginning
+        longer = held.join(useful, "basket").where(F.col("next") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("next")).alias("items"))
+        held = longer.join(of_size(size), "items", "left_semi")
+        counts = counts.unionByName(held.groupBy("items").agg(F.count("*").alias("support")))
+    return candidates.select("items"), supported(counts, support, False)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.scalars import affine
+from loomwork.operators.graph import settled
 
 PRIME, HASHES, ROWS = 2_147_483_647, 100, 2
 
@@ -21,20 +22,24 @@ def coefficients(i: Column, n: int) -> tuple[Column, Column]:
     return a[i], b[i]
 
 
-def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
-    """(item, i, value): the least hash of each item's members, for each hash function; member is a long below 2^31.
+def signatures(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
+    """(item, signature): the least hash of each item's members, for each hash function; member is a long below 2^31.
 
-    Hashes of a row are an array, minima are taken per array element with partial aggregation: no row per hash."""
+    Minima are an array of partial aggregates: no row per hash is shuffled."""
     a, b = coefficient_lists(hashes)
     least = [F.min(affine(F.col(member).cast("long"), a[i], b[i], PRIME)) for i in range(hashes)]
-    signature = sets.groupBy(item).agg(F.array(*least).alias("signature"))
-    return signature.select(item, F.posexplode("signature").alias("i", "value"))
+    return sets.groupBy(item).agg(F.array(*least).alias("signature"))
+
+
+def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
+    """(item, i, value): signatures in long form."""
+    return signatures(sets, item, member, hashes).select(item, F.posexplode("signature").alias("i", "value"))
 
 
-def bands(signatures: DataFrame, item: str, rows: int = ROWS) -> DataFrame:
-    """(item, bucket): a 64-bit hash of each band's number and values."""
-    banded = signatures.groupBy(item, F.floor(F.col("i") / rows).alias("band")).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("part"))
-    return banded.select(item, F.xxhash64("band", "part").alias("bucket"))
+def bands(signed: DataFrame, item: str, rows: int = ROWS, hashes: int = HASHES) -> DataFrame:
+    """(item, bucket): a 64-bit hash of each band's number and values, straight from the signature."""
+    parts = [F.xxhash64(F.lit(k), *[F.col("signature")[k * rows + r] for r in range(rows)]) for k in range(hashes // rows)]
+    return signed.select(item, F.explode(F.array(*parts)).alias("bucket"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, item: str, member: str, least: float) -> DataFrame:
@@ -49,7 +54,9 @@ def verified(pairs: DataFrame, sets: DataFrame, item: str, member: str, least: f
 def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
     """Pairs by MinHash and banding, verified exactly. At 0.5 a pair is missed with (1 - 0.25)^50."""
     sets = sets.select(item, member).where(F.col(item).isNotNull() & F.col(member).isNotNull()).distinct()
-    own = bands(minhash(sets, item, member, hashes), item, rows)
+    own = bands(signatures(sets, item, member, hashes), item, rows, hashes)
+    # Few buckets hold more than one item: only those are joined with themselves, and signatures are computed once.
+    own = settled(own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"))
     left, right = own.toDF("id_1", "bucket"), own.toDF("id_2", "bucket")
     pairs = left.join(right, "bucket").where("id_1 < id_2").select("id_1", "id_2").distinct()
     return verified(pairs, sets, item, member, least)
