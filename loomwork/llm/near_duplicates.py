@@ -13,8 +13,9 @@ others over all buckets: of copies of one text, that is the text itself. Later r
 several classes; each class sends a member drawn by a hash of round and bucket, and one of them is paired with the
 others. So pairs are linear in members however large a bucket is. They pass a check of sizes, one of a byte per coordinate
 (below 0.65 of agreement nothing at 0.8 is to be expected), and an exact one: the weighted Jaccard similarity of all
-shingles, by 32-bit hashes. Links make classes by connected components. Pairs are tried once; rounds end when no pair is
-left or two in a row link nothing.
+shingles, by 32-bit hashes. Links make classes by connected components. Rounds end when one links few more. The texts of
+buckets that are still split then go through an exact join by prefixes of rare shingles, so that every two of different
+classes are either compared or excluded by a bound, whatever a leader was compared with.
 
 Defined results: null texts are classes of their own, named by their id; texts without words equal only each other if
 they are the same string; repeated rows give repeated rows of one class; ties (equal least ids) are the same class id;
@@ -39,8 +40,10 @@ from loomwork.llm.quality_rules import BASE, mixed
 SHINGLE, SIMILARITY, BANDS, ROWS, PLAUSIBLE = 5, 0.8, 25, 5, 0.65
 #: Counted rows of a few numbers each (tens of MB) up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in a row that may link nothing before the last one ends the search.
-PATIENCE = 1
+#: The exact join follows the first round that links less than one part in so many of all links.
+FEW_LINKS = 50
+#: Cells that one batch of the exact join holds, but for a longer text.
+CELLS = 500_000
 K = BANDS * ROWS
 SLOT_SHIFT = np.uint64(44)
 MOST_TEXTS = (1 << 20) // K
@@ -186,6 +189,18 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node, root = (b.column(c).to_numpy() for c in (0, 1))
+        own = b.column(2).to_pylist()
+        size = np.array([len(x) // 4 for x in own], np.int64)
+        part = np.cumsum(size) // CELLS
+        for p in np.unique(part):
+            at = np.flatnonzero(part == p)
+            cell = np.frombuffer(b"".join(own[k] for k in at), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[at], size[at])) for x in (node, root)] + [pa.array(cell)], names=["node", "root", "cell"])
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text, computed in the JVM; null for null."""
     return F.unhex(F.md5(text))
@@ -203,6 +218,34 @@ def linked(pairs: DataFrame, n: int, held: DataFrame, check, columns: list[str])
     return both.mapInArrow(check, "a long, b long")
 
 
+def rare_prefixes(texts: DataFrame, scratch: list[str]) -> DataFrame:
+    """(cell, node, root, n, at) of the cells that may be the first common one, in an order from rare to common, of a text
+    (node, root, own) and a similar one of another root; n: the text's cells, at: the cell's place among them, from 1."""
+    cells = texts.select("node", "root", "own").mapInArrow(_cells, "node long, root long, cell int")
+    common = cells.groupBy("cell").agg(F.count("*").alias("often"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("often > 1")
+    common = stored(common.select("cell", "often", (F.col("r0") != F.col("r1")).alias("across")), "common", scratch)
+    ranked = cells.join(counted(common, common.count()), "cell", "left")
+    cell = F.struct(F.coalesce("often", F.lit(1)).alias("often"), "cell", F.coalesce("across", F.lit(False)).alias("across"))
+    sizes = ranked.groupBy("node", "root").agg(F.array_sort(F.collect_list(cell)).alias("cells")).withColumn("n", F.size("cells"))
+    prefix = F.slice("cells", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6) + 1).cast("int"))
+    placed = sizes.select("node", "root", "n", F.posexplode(prefix).alias("at", "c")).where("c.across")
+    return stored(placed.groupBy(F.col("c.cell").alias("cell"), "node", "root", "n").agg((F.min("at") + 1).alias("at")), "prefixes", scratch)
+
+
+def left_pairs(texts: DataFrame, scratch: list[str]) -> DataFrame:
+    """(a, b) of different roots, among them every similar one. Of a similar pair, the first common cell is early in both,
+    earlier yet in the smaller text, and leaves as many cells after it as the two need in common."""
+    prefixes = rare_prefixes(texts, scratch)
+    least = F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    small = prefixes.where(F.col("at") <= F.col("n") - least + 1)
+    small = small.select("cell", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "at")])
+    needed = F.ceil((F.col("n_a") + F.col("n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+    first = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("node_a") < F.col("node")))
+    room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= needed
+    met = prefixes.join(counted(small, small.count()), "cell").where(first & (F.col("root_a") != F.col("root")) & room)
+    return met.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, doc_id) of each row with a text, and (key, class_key, class_id) of each different text."""
     shipped(df.sparkSession)
@@ -224,7 +267,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     links: DataFrame | None = None
     tried: DataFrame | None = None
     roots: DataFrame | None = None
-    idle = n_links = waiting = 0
+    n_links = 0
     for turn in count():
         now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn:  # each class of a bucket sends one member, another each round
@@ -243,15 +286,23 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         n_likely = likely.count()
         new = stored(linked(likely, n_likely, owned, _similar, ["own"]), "links", scratch, n_likely)
         n_new = new.count()
-        idle = 0 if n_new else idle + 1
-        if idle > PATIENCE:
+        if n_new:
+            links, n_links = new if links is None else links.unionByName(new), n_links + n_new
+            roots = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links)
+        if n_new * FEW_LINKS <= n_links:
             break
+    now = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = now.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
+    open_texts = stored(now.join(split, "bucket", "left_semi").select("node", "root").distinct(), "open", scratch, n_members)
+    n_open = open_texts.count()
+    if n_open:
+        pairs = stored(left_pairs(owned.join(counted(open_texts, n_open), "node"), scratch), "pairs", scratch)
+        n_pairs = pairs.count()
+        new = stored(linked(pairs, n_pairs, owned, _similar, ["own"]), "links", scratch, n_pairs)
+        n_new = new.count()
         if n_new:
-            links, n_links, waiting = new if links is None else links.unionByName(new), n_links + n_new, waiting + n_new
-        if waiting * 50 > n_links:  # a few new links can wait: classes that are known late only cost pairs
-            roots, waiting = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links), 0
-    if waiting:
-        roots = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links)
+            links, n_links = new if links is None else links.unionByName(new), n_links + n_new
+            roots = stored(connected(links.toDF("u", "v"), scratch, n_links), "roots", scratch, 2 * n_links)
     named = nodes.select("key", "least", "node")
     named = named.withColumn("root", F.col("node")) if roots is None else named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("best"))

@@ -139,6 +139,21 @@ def test_near_duplicates_by_brute_force(spark, docs_of):
     assert [got[k] for k in range(len(texts))] == classes_by_brute_force(texts)
 
 
+def test_near_duplicates_within_hot_buckets(spark, docs_of):
+    """Hundreds of texts with 78 % of their shingles in common, in pairs at a similarity just above 0.8."""
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(160)]
+    texts = []
+    for k in range(130):
+        own = [f"t{k}x{i}" for i in range(44)]
+        texts += [" ".join(common + own), " ".join(common + own[:22] + [f"u{k}x{i}" for i in range(22)])]
+    rng.shuffle(texts)
+    got = dict((r["doc_id"], r["class_id"]) for r in near_duplicates.near_duplicates(docs_of(*enumerate(texts))).collect())
+    want = classes_by_brute_force(texts)
+    assert len(set(want)) == 130
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 2**63, 400).astype(np.uint64)
