@@ -61,7 +61,7 @@ def son_itemsets(spark: SparkSession, sf: str) -> DataFrame:
 def itemset_report(spark: SparkSession, sf: str) -> DataFrame:
     """SNK5: the report's lines of the strict form's itemsets."""
     rows = brand_baskets(spark, sf, 3)
-    found = itemsets.frequent_itemsets(rows, support_of(rows), strict=True, most=2)
+    found = itemsets.frequent_itemsets(rows, support_of(rows), strict=True)
     return sinks.itemset_lines(found, "Frequent Itemsets:", 1).select("size", "line")
 
 

@@ -1,6 +1,8 @@
 """Small fixtures with values worked out by hand, round trips, and edge cases."""
 
 import math
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scalars
 from loomwork.operators import cluster, features, graph, itemsets, recommend, relational, similarity
+from loomwork.plans import mining
 from loomwork.sources import readers, sinks
 from loomwork.streaming import sketches
 
@@ -48,6 +51,31 @@ def test_itemsets(spark):
     assert [r["line"] for r in lines if r["section"] == 1] == ["Frequent Itemsets:", "('a'),('b'),('c')", "('a', 'b')"]
 
 
+def test_itemsets_of_every_size(spark, sf_dir):
+    groups = [["abcde"] * 3, ["abc"], ["de"]]
+    rows = spark.createDataFrame([(f"{g}-{k}", i) for g, group in enumerate(groups) for k, b in enumerate(group) for i in b], "basket string, item string")
+    want = {"".join(c): 3 + (set(c) <= set("abc")) + (set(c) <= set("de")) for n in range(1, 6) for c in combinations("abcde", n)}
+    as_dict = lambda df: {"".join(r["items"]): r["support"] for r in df.collect()}
+    assert as_dict(itemsets.frequent_itemsets(rows, 3)) == want
+    assert as_dict(itemsets.son_itemsets(rows, 3)[1]) == want
+    held = {}
+    for r in mining.brand_baskets(spark, sf_dir).collect():
+        held.setdefault(r["basket"], []).append(r["item"])
+
+    def frequent(more_than, strict):
+        own = [sorted(b) for b in held.values() if len(b) > more_than]
+        least = max(2, -(-len(own) * 4 // 1000)) + strict
+        counts = Counter(c for b in own for n in range(1, len(b) + 1) for c in combinations(b, n))
+        return {c: n for c, n in counts.items() if n >= least}
+
+    loose, strict = frequent(0, False), frequent(3, True)
+    named = lambda f: {r["items"]: r["support"] for r in f(spark, sf_dir).collect()}
+    assert named(mining.frequent_itemsets) == named(mining.son_itemsets) == {",".join(c): n for c, n in loose.items()}
+    assert named(mining.frequent_itemsets_strict) == {",".join(c): n for c, n in strict.items()}
+    lines = {r["size"]: r["line"].count("(") for r in mining.itemset_report(spark, sf_dir).collect() if r["size"]}
+    assert lines == Counter(map(len, strict))
+
+
 def test_jaccard(spark):
     sets = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 1), ("b2", 2), ("b2", 2), ("b3", 2), ("b4", None)], "b string, u int")
     want = {("b1", "b2"): 1.0, ("b1", "b3"): 0.5, ("b2", "b3"): 0.5}
