@@ -117,20 +117,23 @@ def components_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def girvan_newman(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(id, component, q, round) of the first split with the highest modularity. Each round removes the busiest edges; a
-    round costs one all-pairs shortest-path computation, so this is for graphs whose node pairs fit the cluster."""
+    """(id, component, q, round) of the first split with the highest modularity, round 0 being the graph as it is. Each round
+    removes the busiest edges; it costs one all-pairs shortest-path computation, so this is for graphs whose node pairs fit
+    the cluster."""
     original = settled(edges.select("src", "dst"))
     nodes = settled(degrees(original).select("id"))
-    now, best, turn = original, None, 0
+    if original.isEmpty():
+        return nodes.select("id", F.col("id").alias("component"), F.lit(None).cast("double").alias("q"), F.lit(0).alias("round"))
+    parts = settled(components_of(nodes, original))
+    best = (modularity(original, original, parts).first()["q"], parts, 0)
+    now, turn = original, 0
     while not now.isEmpty() and (most_rounds is None or turn < most_rounds):
         turn += 1
         now = settled(without_busiest(now, edge_betweenness(now)))
         parts = settled(components_of(nodes, now))
         q = modularity(now, original, parts).first()["q"]
-        if best is None or q > best[0]:
+        if q > best[0]:
             best = (q, parts, turn)
-    if best is None:
-        return nodes.select("id", F.col("id").alias("component"), F.lit(None).cast("double").alias("q"), F.lit(0).alias("round"))
     return best[1].select("id", "component", F.lit(best[0]).alias("q"), F.lit(best[2]).alias("round"))
 
 

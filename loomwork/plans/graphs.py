@@ -51,8 +51,8 @@ def first_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def girvan_newman(spark: SparkSession, sf: str) -> DataFrame:
-    """The best split of three rounds."""
-    return graph.girvan_newman(supplier_graph(spark, sf), 3)
+    """The best split of all rounds, until no edge is left."""
+    return graph.girvan_newman(supplier_graph(spark, sf))
 
 
 def community_lines(spark: SparkSession, sf: str) -> DataFrame:

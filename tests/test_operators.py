@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scalars
 from loomwork.operators import cluster, features, graph, itemsets, recommend, relational, similarity
-from loomwork.plans import mining
+from loomwork.plans import graphs, mining
 from loomwork.sources import readers, sinks
 from loomwork.streaming import sketches
 
@@ -32,6 +32,51 @@ def test_two_triangles_split(spark):
     assert math.isclose(found[0]["q"], 6 / 7 - 0.5, abs_tol=1e-9)
 
 
+def test_girvan_newman_query_goes_beyond_three_rounds(spark, monkeypatch):
+    """Five cliques on a path: a bridge falls in each of four rounds, and the best split comes after the last of them."""
+    starts = [0, 3, 6, 10, 13, 17]
+    pairs = [p for a, b in zip(starts, starts[1:]) for p in combinations(range(a, b), 2)] + [(a - 1, a) for a in starts[1:-1]]
+    monkeypatch.setattr(graphs, "supplier_graph", lambda spark, sf: spark.createDataFrame(pairs, "src long, dst long"))
+    near = {n: {m for p in pairs for m in p if n in p and m != n} for p in pairs for n in p}
+    degree, now, best = {n: len(s) for n, s in near.items()}, near, (-1.0, None, 0)
+    turn = 0
+    while any(now.values()):
+        between = Counter()
+        for s in now:
+            far, paths, order = {s: 0}, Counter({s: 1}), [s]
+            for u in order:
+                for v in now[u]:
+                    if v not in far:
+                        far[v] = far[u] + 1
+                        order.append(v)
+                    if far[v] == far[u] + 1:
+                        paths[v] += paths[u]
+            credit = Counter()
+            for v in reversed(order):
+                for u in now[v]:
+                    if far[u] + 1 == far[v]:
+                        share = (1 + credit[v]) * paths[u] / paths[v]
+                        credit[u] += share
+                        between[frozenset((u, v))] += share / 2
+        top = max(round(b, 5) for b in between.values())
+        now, turn = {u: {v for v in s if round(between[frozenset((u, v))], 5) < top} for u, s in now.items()}, turn + 1
+        part = {n: n for n in now}
+        for _ in now:
+            part = {n: min([part[n], *(part[m] for m in now[n])]) for n in now}
+        q = sum((part[u] == part[v] and v in now[u]) / (2 * len(pairs)) - (part[u] == part[v]) * degree[u] * degree[v] / (2 * len(pairs)) ** 2 for u in now for v in now)
+        if q > best[0] + 1e-12:
+            best = (q, part, turn)
+    assert best[2] > 3
+    found = graphs.girvan_newman(spark, "").collect()
+    assert {r["id"]: r["component"] for r in found} == best[1]
+    assert math.isclose(found[0]["q"], best[0], abs_tol=1e-9) and found[0]["round"] == best[2]
+
+
+def test_girvan_newman_keeps_a_graph_that_no_removal_betters(spark):
+    found = graph.girvan_newman(edges(spark, "ab", "ac", "bc", "de", "df", "ef")).collect()
+    assert {(r["id"], r["component"], r["round"]) for r in found} == {(x, "a", 0) for x in "abc"} | {(x, "d", 0) for x in "def"}
+
+
 def test_graph_without_edges(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert graph.connected_components(none).count() == graph.edge_betweenness(none).count() == graph.girvan_newman(none).count() == 0
