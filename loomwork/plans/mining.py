@@ -70,16 +70,16 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """A10, CL3: n, sum and sum of squares of each cluster and dimension, of every fifth point."""
-    stats = cluster.summaries(points(spark, sf).where("id % 5 = 0"))
+    """A10, CL3: n, sum and sum of squares of each cluster and dimension."""
+    stats = cluster.summaries(points(spark, sf))
     long = stats.select("cluster", "n", F.posexplode(F.arrays_zip("total", "squares")).alias("dim", "s"))
     return long.select("cluster", "n", F.col("dim").cast("long").alias("dim"), F.round("s.total", 4).alias("total"), F.round("s.squares", 4).alias("squares"))
 
 
 def nearest_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """CL5, J7, F18: the other points go to the nearest summary within 2 sqrt(d), -1 beyond."""
+    """CL5, J7, F18: all points go to the nearest summary within 2 sqrt(d), -1 beyond."""
     own = points(spark, sf)
-    found = cluster.nearest(own.where("id % 5 <> 0").select("id", "features"), cluster.summaries(own.where("id % 5 = 0")), 16.0)
+    found = cluster.nearest(own.select("id", "features"), cluster.summaries(own), 16.0)
     return found.select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.round(F.coalesce("distance", F.lit(-1.0)), 4).alias("distance"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scalars
 from loomwork.operators import cluster, features, graph, itemsets, recommend, relational, similarity
-from loomwork.plans import graphs, mining
+from loomwork.plans import graphs, mining, ratings, summaries
 from loomwork.sources import readers, sinks
 from loomwork.streaming import sketches
 
@@ -121,6 +121,28 @@ def test_itemsets_of_every_size(spark, sf_dir):
     assert lines == Counter(map(len, strict))
 
 
+@pytest.mark.parametrize("plan, name, filters", [
+    (summaries, "lookup_counts", ["WHERE l_orderkey % 40 = 0"]), (mining, "cluster_summaries", ["WHERE vec_id % 5 = 0"]),
+    (mining, "nearest_summaries", ["WHERE vec_id % 5 = 0", "WHERE vec_id % 5 <> 0"])])
+def test_queries_over_all_rows(spark, sf_dir, same_rows, plan, name, filters):
+    """The rows of the SQL without its filters."""
+    sql = plan.ORACLES[name]
+    for text in filters:
+        assert text in sql
+        sql = sql.replace(text, "")
+    same_rows(plan.QUERIES[name](spark, sf_dir), sql)
+
+
+def test_item_weights_of_all_parts(spark, sf_dir, duck):
+    """The rows of the SQL without its filter; sums differ in their last digits."""
+    sql = ratings.ORACLES["item_weights"]
+    assert "WHERE item < 100" in sql
+    want = {(a, b): (w, n) for a, b, w, n in duck.execute(sql.replace("WHERE item < 100", "")).fetchall()}
+    got = {(r["item"], r["other"]): (r["weight"], r["common"]) for r in ratings.item_weights(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(max(k) for k in got) > 100
+    assert all(got[k][1] == n and math.isclose(got[k][0], w, abs_tol=2e-6) for k, (w, n) in want.items())
+
+
 def test_jaccard(spark):
     sets = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 1), ("b2", 2), ("b2", 2), ("b3", 2), ("b4", None)], "b string, u int")
     want = {("b1", "b2"): 1.0, ("b1", "b3"): 0.5, ("b2", "b3"): 0.5}
