@@ -56,9 +56,20 @@ def category_flag(categories: Column, name: str, trim: bool = True) -> Column:
     return F.when(categories.isNull(), 0).when(F.array_contains(names, name), 2).otherwise(1)
 
 
+def moments(n: Column, total: Column, squares: Column) -> Column:
+    """(m, v) of each dimension: the mean, and the variance (1 without spread) by which squared differences are divided."""
+    spread = lambda s, q: F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
+    return F.zip_with(total, squares, lambda s, q: F.struct((s / n).alias("m"), F.when(spread(s, q) > 1e-12, spread(s, q)).otherwise(1.0).alias("v")))
+
+
 def standardized_distance(point: Column, n: Column, total: Column, squares: Column) -> Column:
     """Distance of a vector from a summary (n, sum, sum of squares per dimension) in standard deviations.
 
     A dimension without spread counts as its plain squared difference."""
-    parts = F.zip_with(point, F.zip_with(total, squares, lambda s, q: F.struct((s / n).alias("m"), F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)).alias("v"))), lambda x, c: F.pow(x - c["m"], F.lit(2.0)) / F.when(c["v"] > 1e-12, c["v"]).otherwise(1.0))
+    return distance_from(point, moments(n, total, squares))
+
+
+def distance_from(point: Column, centre: Column) -> Column:
+    """Distance of a vector from moments, in standard deviations."""
+    parts = F.zip_with(point, centre, lambda x, c: F.pow(x - c["m"], F.lit(2.0)) / c["v"])
     return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, d: a + d))

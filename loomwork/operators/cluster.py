@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.scalars import standardized_distance
+from loomwork.functions.scalars import distance_from, moments, standardized_distance
 from loomwork.operators.graph import connected_components, settled
 
+#: Summaries that travel to every task as one array (some MB at a hundred dimensions); more are joined.
+MOST_BROADCAST = 2048
+#: Clusters of one k-means, whose model the driver holds; a round that retains more than twice as many points is
+#: compressed more coarsely.
+MOST_CLUSTERS = 4096
 SUMMARY = "cluster long, n long, total array<double>, squares array<double>"
 
 
@@ -24,8 +29,15 @@ def summaries(points: DataFrame, cluster: str = "cluster", features: str = "feat
 
 
 def nearest(points: DataFrame, stats: DataFrame, within: float) -> DataFrame:
-    """points with the cluster of the nearest summary (the lower number on ties), null beyond ``within``. Spark broadcasts the
-    summaries while they are small, else splits both sides."""
+    """points with the cluster of the nearest summary (the lower number on ties) and the distance, null beyond ``within``.
+    Up to ``MOST_BROADCAST`` summaries are one broadcast row, and a point is placed where it lies; more are joined in
+    parts that Spark splits."""
+    if stats.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        every = stats.select(F.collect_list(F.struct("cluster", moments(F.col("n"), F.col("total"), F.col("squares")).alias("centre"))).alias("every"))
+        own = F.transform("every", lambda s: F.struct(distance_from(F.col("features"), s["centre"]).alias("distance"), s["cluster"].alias("cluster")))
+        best = points.crossJoin(F.broadcast(every)).withColumn("best", F.array_min(own))  # one row
+        near = F.col("best.distance") < within
+        return best.select(*[F.col(c) for c in points.columns], F.when(near, F.col("best.cluster")).alias("cluster"), F.when(near, F.col("best.distance")).alias("distance"))
     row = F.struct(standardized_distance(F.col("features"), F.col("n"), F.col("total"), F.col("squares")).alias("distance"), F.col("cluster"))
     best = points.crossJoin(stats).groupBy("id").agg(F.min(row).alias("best")).where(F.col("best.distance") < within)
     return points.join(best.select("id", F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance")), "id", "left")
@@ -80,7 +92,7 @@ def bfr(points: DataFrame, k: int, rounds: int = 5, seed: int = 0) -> tuple[Data
     counts, next_id = [], 1_000_000
 
     def compress(retained: DataFrame, cs: DataFrame, cs_member: DataFrame, next_id: int):
-        grouped = k_means(retained, 1 + retained.count() // 2, seed)
+        grouped = k_means(retained, min(1 + retained.count() // 2, MOST_CLUSTERS), seed)
         sizes = grouped.groupBy("cluster").agg(F.count("*").alias("m"))
         big = settled(grouped.join(sizes.where("m > 1"), "cluster", "left_semi").withColumn("cluster", F.col("cluster") + next_id))
         left = settled(retained.join(big.select("id"), "id", "left_anti").select("id", "features"))

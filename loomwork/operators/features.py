@@ -12,6 +12,10 @@ USER_FEATURES = ["review_count", "average_stars", "fans", "useful"]
 BUSINESS_FEATURES = ["business_stars", "business_review_count"]
 #: Attribute keys and the category of the extended features.
 FLAGS = {"reservations": "RestaurantsReservations", "credit_card": "BusinessAcceptsCreditCards", "kids": "GoodForKids", "bike_parking": "BikeParking", "caters": "Caters"}
+USER_COUNTS = ["funny", "cool", "n_friends", "compliment_hot", "compliment_note", "compliment_photos"]
+PLACE = ["is_open", "reservations", "credit_card", "longitude", "latitude", "price", "restaurant", "kids", "noise"]
+#: The 23 features of the extended model: ten of the user, eleven of the business, likes of the pair's tips, photos.
+EXTENDED = [*USER_FEATURES, *USER_COUNTS, *BUSINESS_FEATURES, *PLACE, "tip_likes", "n_photos"]
 CATEGORIES = {"restaurant": "Restaurants", "hotel": "Hotels & Travel", "shopping": "Shopping"}
 
 
@@ -41,8 +45,9 @@ def extended_features(pairs: DataFrame, users: DataFrame, businesses: DataFrame,
     return enriched(out, photos.groupBy("business_id").agg(F.count("*").alias("n_photos")), "business_id", {"n_tips": 0, "tip_likes": 0, "n_photos": 0})
 
 
-def rating_model(train: DataFrame, features: list[str], label: str = "stars", trees: int = 50, depth: int = 5, rate: float = 0.1, seed: int = 7):
-    """A fitted pipeline (assembler, gradient-boosted trees); rows keep their keys through transform()."""
+def rating_model(train: DataFrame, features: list[str], label: str = "stars", trees: int = 500, depth: int = 5, rate: float = 0.1, seed: int = 7):
+    """A fitted pipeline (assembler, gradient-boosted trees); rows keep their keys through transform(). Each tree is a pass
+    over the data; the extended model takes EXTENDED, trees=3500, depth=6, rate=0.05."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor

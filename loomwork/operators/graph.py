@@ -1,31 +1,41 @@
 """Graphs as edge tables (src, dst) with src < dst: co-occurrence, degrees, label propagation, components, shortest-path
 betweenness, modularity, and splitting by removal of the edges of highest betweenness.
 
-Iterative operators are driver loops that build plans; each iteration is checkpointed in spark.checkpoint.dir, so
-lineage stays short and a lost executor costs one iteration."""
+Iterative operators are driver loops that build plans; each iteration ends in a table in spark.checkpoint.dir, so
+lineage stays short, nothing is computed twice, and a lost executor costs one iteration."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.storage import settled
+
 
-def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint. A folder of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='loomwork-checkpoint-')}")
-    return df.checkpoint()
+def memberships(rows: DataFrame, node: str, item: str) -> DataFrame:
+    return rows.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").distinct()
 
 
 def co_occurrence(rows: DataFrame, node: str, item: str) -> DataFrame:
     """(src, dst, weight): how many items two nodes share. An equi-join on the item, not a product of nodes."""
-    rows = rows.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").distinct()
+    rows = memberships(rows, node, item)
     return rows.toDF("src", "item").join(rows.toDF("dst", "item"), "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def overlapping(rows: DataFrame, node: str, item: str, least: int) -> DataFrame:
+    """(src, dst, weight) of the pairs of nodes that share ``least`` items or more. Such a pair shares one among the
+    rarest n - least + 1 of each one's n items, so only those are joined: an item that most nodes have stays out of the
+    join unless a node has hardly rarer ones. Weights are then counted over all items of the pairs that met."""
+    rows = settled(memberships(rows, node, item))
+    often = rows.groupBy("item").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("node")
+    ranked = rows.join(often, "item").select("node", "item", F.row_number().over(own.orderBy("often", "item")).alias("rank"), F.count("*").over(own).alias("n"))
+    rare = ranked.where(F.col("rank") <= F.col("n") - (least - 1)).select("node", "item")
+    met = rare.toDF("src", "item").join(rare.toDF("dst", "item"), "item").where("src < dst").select("src", "dst").distinct()
+    counted = met.join(rows.toDF("src", "item"), "src").join(rows.toDF("dst", "item"), ["dst", "item"])
+    return counted.groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+
+
 def heaviest(weighted: DataFrame, n: int) -> DataFrame:
     """The edges that weigh as much as the n-th heaviest, or more."""
     least = weighted.orderBy(F.col("weight").desc()).limit(n).agg(F.min("weight").alias("least"))
@@ -81,17 +91,33 @@ def shortest_paths(edges: DataFrame, longest: int | None = None) -> DataFrame:
     return seen
 
 
+def credits(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, parent, id, credit) of each edge of each root's shortest-path tree: a node has a credit of 1 and what its
+    children send up, and sends it to its parents by their numbers of shortest paths. Level by level from the deepest, so
+    each edge is joined once a root."""
+    pairs = both_ways(edges).toDF("id", "parent")
+    deepest = paths.agg(F.max("distance")).first()[0] or 0
+    sent = None
+    out = paths.sparkSession.createDataFrame([], paths.select("root", F.col("id").alias("parent"), "id", F.lit(0.0).alias("credit")).schema)
+    for level in range(deepest, 0, -1):
+        nodes = paths.where(F.col("distance") == level).select("root", "id", "paths")
+        if sent is None:
+            nodes = nodes.withColumn("own", F.lit(1.0))
+        else:
+            nodes = nodes.join(sent, ["root", "id"], "left").select("root", "id", "paths", (1 + F.coalesce("flow", F.lit(0.0))).alias("own"))
+        above = paths.where(F.col("distance") == level - 1).select("root", F.col("id").alias("parent"), F.col("paths").alias("parent_paths"))
+        up = nodes.join(pairs, "id").join(above, ["root", "parent"])
+        up = settled(up.select("root", "parent", "id", (F.col("own") * F.col("parent_paths") / F.col("paths")).alias("credit")))
+        sent = up.groupBy("root", F.col("parent").alias("id")).agg(F.sum("credit").alias("flow"))
+        out = up if level == deepest else out.unionByName(up)
+    return out
+
+
 def edge_betweenness(edges: DataFrame, digits: int = 5) -> DataFrame:
-    """(src, dst, betweenness): for all pairs (s, t), the share of their shortest paths through the edge. An edge (u, v) lies
-    on one iff d(s,u) + 1 + d(v,t) = d(s,t); the sum over ordered pairs counts each pair twice and each direction once."""
-    paths = settled(shortest_paths(edges))
-    from_s = paths.toDF("s", "u", "d_su", "p_su")
-    to_t = paths.toDF("v", "t", "d_vt", "p_vt")
-    whole = paths.toDF("s", "t", "d_st", "p_st")
-    steps = both_ways(edges).toDF("u", "v")
-    parts = from_s.join(steps, "u").join(to_t, "v").join(whole, ["s", "t"]).where("d_su + 1 + d_vt = d_st")
-    share = F.sum(F.col("p_su") * F.col("p_vt") / F.col("p_st"))
-    summed = parts.groupBy(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).agg(share.alias("b"))
+    """(src, dst, betweenness): for all pairs of nodes, the share of their shortest paths through the edge. Every node is a
+    root once, so a pair counts from both its ends, and the sum is halved."""
+    edges = settled(edges.select("src", "dst"))
+    summed = credits(settled(shortest_paths(edges)), edges).groupBy(F.least("parent", "id").alias("src"), F.greatest("parent", "id").alias("dst")).agg(F.sum("credit").alias("b"))
     return summed.select("src", "dst", F.round(F.col("b") / 2, digits).alias("betweenness"))
 
 

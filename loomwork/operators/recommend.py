@@ -19,17 +19,26 @@ def averages(rated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rated.groupBy("user").agg(F.avg("stars").alias("user_mean")), rated.groupBy("item").agg(F.avg("stars").alias("item_mean")), rated.agg(F.avg("stars").alias("global_mean"))
 
 
-def item_weights(pairs: DataFrame, rated: DataFrame) -> DataFrame:
-    """(item, other, weight, common) of item pairs: the correlation over common raters, centred by the items' means over all
-    their raters (0 without spread); without common raters a step function of the difference of the means."""
+#: A correlation of less than this is rounding of the sums, and 0.
+ROUNDING = 1e-12
+
+
+def item_weights(pairs: DataFrame | None, rated: DataFrame) -> DataFrame:
+    """(item, other, weight, common) of item pairs, of all with item < other if pairs is None: the correlation over common
+    raters, centred by the items' means over all their raters (0 without spread); without common raters a step function of
+    the difference of the means."""
     means = rated.groupBy("item").agg(F.avg("stars").alias("mean"))
     centred = rated.join(means, "item").select("user", "item", (F.col("stars") - F.col("mean")).alias("x"))
     left, right = centred.toDF("user", "item", "x"), centred.toDF("user", "other", "y")
-    sums = pairs.join(left, "item").join(right, ["user", "other"]).groupBy("item", "other").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("common"))
+    met = left.join(right, "user").where("item < other") if pairs is None else pairs.join(left, "item").join(right, ["user", "other"])
+    if pairs is None:
+        items = means.select("item")
+        pairs = items.join(items.withColumnRenamed("item", "other"), F.col("item") < F.col("other"))
+    sums = met.groupBy("item", "other").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.count("*").alias("common"))
     spread = F.sqrt("xx") * F.sqrt("yy")
     both = pairs.join(sums, ["item", "other"], "left").join(means.toDF("item", "m1"), "item").join(means.toDF("other", "m2"), "other")
     ladder = band_of_difference(F.col("m1") - F.col("m2"))
-    weight = F.when(F.col("common").isNull(), ladder).when(spread > 1e-12, F.col("xy") / F.when(spread > 1e-12, spread)).otherwise(0.0)
+    weight = F.when(F.col("common").isNull(), ladder).when((spread > 1e-12) & (F.abs("xy") > ROUNDING * spread), F.col("xy") / F.when(spread > 1e-12, spread)).otherwise(0.0)
     return both.select("item", "other", weight.alias("weight"), F.coalesce("common", F.lit(0)).alias("common"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.sources.storage import settled
+
 
 def review_counts(reviews: DataFrame, user: str, business: str, date: Column, part: str) -> DataFrame:
     """n_review, n_review_in (dates that contain ``part``), n_user, n_business: one pass over three columns."""
@@ -86,13 +88,11 @@ def error_histogram(df: DataFrame, truth: str, prediction: str, last: int = 4) -
 
 
 def dense_index(df: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """(value, index from 0) of the distinct values in order. Quantiles only deal values to buckets: offsets of buckets and
-    places within them are exact, and no window holds more than a bucket."""
-    from pyspark.sql import Window
-
+    """(value, index from 0) of the distinct values in order, of any type that sorts. Values are dealt to ranges of about
+    equal size; offsets of ranges and places within them are exact, and no window holds more than a range."""
     values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    cuts = values.agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    dealt = values.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c <= F.col("value")))).drop("cuts")
-    earlier = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    dealt = settled(values.repartitionByRange(buckets, "value").withColumn("bucket", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
+    earlier = dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("value")) - 1
     return dealt.withColumn("place", place).join(F.broadcast(earlier), "bucket").select("value", (F.col("before") + F.col("place")).alias("index"))

@@ -9,6 +9,8 @@ from loomwork.functions.scalars import affine
 from loomwork.operators.graph import settled
 
 PRIME, HASHES, ROWS = 2_147_483_647, 100, 2
+#: Members up to which a bucket's pairs are all formed; larger ones go through rare members instead.
+BUCKET_MEMBERS = 64
 
 
 def coefficient_lists(n: int) -> tuple[list[int], list[int]]:
@@ -51,25 +53,52 @@ def verified(pairs: DataFrame, sets: DataFrame, item: str, member: str, least: f
     return both.select("id_1", "id_2", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
-def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """Pairs by MinHash and banding, verified exactly. At 0.5 a pair is missed with (1 - 0.25)^50."""
-    sets = sets.select(item, member).where(F.col(item).isNotNull() & F.col(member).isNotNull()).distinct()
-    own = bands(signatures(sets, item, member, hashes), item, rows, hashes)
-    # Few buckets hold more than one item: only those are joined with themselves, and signatures are computed once.
-    own = settled(own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").drop("n"))
-    left, right = own.toDF("id_1", "bucket"), own.toDF("id_2", "bucket")
-    pairs = left.join(right, "bucket").where("id_1 < id_2").select("id_1", "id_2").distinct()
-    return verified(pairs, sets, item, member, least)
-
-
-def jaccard_exact(sets: DataFrame, item: str, member: str, least: float = 0.5) -> DataFrame:
-    """All pairs, exactly: two sets at ``least`` share a member among the rarest |x| - ceil(least |x|) + 1 of each, so only
-    those are joined, and only sets whose sizes allow it."""
-    sets = sets.select(F.col(item).alias("item"), F.col(member).alias("member")).where("item is not null and member is not null").distinct()
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(id_1, id_2) of distinct (item, member) rows, among them every pair at ``least``: two such sets share a member among
+    the rarest |x| - ceil(least |x|) + 1 of each, so only those are joined, and only sets whose sizes allow it."""
     frequency = sets.groupBy("member").agg(F.count("*").alias("df"))
     own = Window.partitionBy("item")
     ranked = sets.join(frequency, "member").withColumn("rank", F.row_number().over(own.orderBy("df", "member"))).withColumn("size", F.count("*").over(own))
     prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(least * F.col("size")) + 1).select("item", "member", "size")
     pairs = prefix.toDF("id_1", "member", "size_1").join(prefix.toDF("id_2", "member", "size_2"), "member").where("id_1 < id_2")
-    pairs = pairs.where(F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2")).select("id_1", "id_2").distinct()
-    return verified(pairs, sets, "item", "member", least)
+    return pairs.where(F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2")).select("id_1", "id_2").distinct()
+
+
+def distinct_sets(sets: DataFrame, item: str, member: str) -> DataFrame:
+    return sets.select(F.col(item).alias("item"), F.col(member).alias("member")).where("item is not null and member is not null").distinct()
+
+
+def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
+    """Pairs by MinHash and banding, verified exactly. At 0.5 a pair is missed with (1 - 0.25)^50. Equal sets meet as one
+    and are told apart at the end. A bucket pairs its sets if they are few and their sizes allow the similarity; the sets of
+    larger buckets meet by rare members instead, which misses none of their pairs and keeps hot buckets from being squared."""
+    sets = settled(distinct_sets(sets, item, member))
+    whole = sets.groupBy("item").agg(F.array_sort(F.collect_set("member")).alias("own"))
+    same = settled(whole.withColumn("first", F.min("item").over(Window.partitionBy("own"))).select("item", "first", F.size("own").alias("size")))
+    copies = same.where("item != first").select("item", "first")
+    alone = copies.isEmpty()
+    once = sets if alone else sets.join(same.where("item = first").select("item"), "item", "left_semi")
+    own = bands(signatures(once, "item", "member", hashes), "item", rows, hashes)
+    # Few buckets hold more than one set: only those are joined with themselves, and signatures are computed once.
+    own = own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    own = settled(own.join(same.select("item", "size"), "item"))
+    few = own.where(F.col("n") <= BUCKET_MEMBERS).select("item", "bucket", "size")
+    pairs = few.toDF("id_1", "bucket", "size_1").join(few.toDF("id_2", "bucket", "size_2"), "bucket")
+    pairs = pairs.where((F.col("id_1") < F.col("id_2")) & (F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2"))).select("id_1", "id_2")
+    crowd = settled(own.where(F.col("n") > BUCKET_MEMBERS).select("item").distinct())
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(once.join(crowd, "item", "left_semi"), least))
+    found = verified(pairs.distinct(), once, "item", "member", least)
+    if alone:
+        return found
+    groups = same.select("first", "item")
+    across = found.join(groups.toDF("id_1", "x"), "id_1").join(groups.toDF("id_2", "y"), "id_2")
+    within = groups.toDF("first", "x").join(groups.toDF("first", "y"), "first").where("x < y").withColumn("similarity", F.lit(1.0))
+    both = across.select("x", "y", "similarity").unionByName(within.select("x", "y", "similarity"))
+    return both.select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "similarity")
+
+
+def jaccard_exact(sets: DataFrame, item: str, member: str, least: float = 0.5) -> DataFrame:
+    """All pairs, exactly, by prefix filtering."""
+    sets = distinct_sets(sets, item, member)
+    return verified(prefix_pairs(sets, least), sets, "item", "member", least)

@@ -17,6 +17,17 @@ def supplier_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.heaviest(graph.co_occurrence(parquet(spark, sf, "lineitem"), "l_suppkey", "l_partkey"), CLOSEST)
 
 
+def orders_in_common(spark: SparkSession, sf: str) -> DataFrame:
+    """FL5 with a threshold: orders that share two parts or more."""
+    return graph.overlapping(parquet(spark, sf, "lineitem"), "l_orderkey", "l_partkey", 2)
+
+
+def path_credits(spark: SparkSession, sf: str) -> DataFrame:
+    """What every node sends up to its parents, for every root."""
+    edges = graph.settled(supplier_graph(spark, sf))
+    return graph.credits(graph.settled(graph.shortest_paths(edges)), edges).select("root", "parent", "id", F.round("credit", 6).alias("credit"))
+
+
 def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     """G9."""
     return graph.degrees(supplier_graph(spark, sf))
@@ -61,7 +72,7 @@ def community_lines(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.community_lines(graph.communities(parts)).select(F.col("size").cast("long").alias("size"), "first", "line")
 
 
-QUERIES = {f.__name__: f for f in (supplier_graph, node_degrees, label_propagation, connected_components, edge_betweenness, modularity, first_split, girvan_newman, community_lines)}
+QUERIES = {f.__name__: f for f in (supplier_graph, orders_in_common, path_credits, node_degrees, label_propagation, connected_components, edge_betweenness, modularity, first_split, girvan_newman, community_lines)}
 
 EDGES = f"""
 s AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS item FROM lineitem),
@@ -101,6 +112,12 @@ b AS (SELECT least(g.src, g.dst) AS src, greatest(g.src, g.dst) AS dst, round(su
 
 ORACLES = {
     "supplier_graph": f"WITH {EDGES} SELECT src, dst FROM e",
+    "orders_in_common": """
+WITH s AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS item FROM lineitem)
+SELECT a.node AS src, b.node AS dst, count(*) AS weight FROM s a JOIN s b ON a.item = b.item AND a.node < b.node GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "path_credits": f"""WITH {EDGES}, {_betweenness()}
+SELECT x.s AS root, g.src AS parent, g.dst AS id, round(sum(x.n * y.n / z.n::DOUBLE), 6) AS credit
+  FROM g JOIN a{LEVELS} x ON x.u = g.src JOIN a{LEVELS} y ON y.s = g.dst JOIN a{LEVELS} z ON z.s = x.s AND z.u = y.u WHERE x.d + 1 + y.d = z.d GROUP BY 1, 2, 3""",
     "node_degrees": f"WITH {EDGES} SELECT src AS id, count(*) AS degree FROM g GROUP BY 1",
     "label_propagation": f"WITH {EDGES}, {_propagated(5)} SELECT id, label FROM l5",
     "connected_components": f"WITH RECURSIVE {EDGES}, {REACH}, {COMPONENTS} SELECT id, component FROM c",

@@ -109,35 +109,34 @@ c AS (SELECT a.item AS id_1, b.item AS id_2, count(*) AS k FROM s a JOIN s b ON
 SELECT id_1, id_2, round(k / (x.n + y.n - k)::DOUBLE, 6) AS similarity FROM c JOIN n x ON id_1 = x.item JOIN n y ON id_2 = y.item WHERE k >= 0.5 * (x.n + y.n - k)"""
 
 
-def _levels(more_than: int, compare: str, most: int) -> str:
+def _levels(more_than: int, compare: str) -> str:
+    """items, support, size of all itemsets, whatever their size."""
     small = f"WHERE basket IN (SELECT basket FROM b0 GROUP BY 1 HAVING count(*) > {more_than})" if more_than else ""
     return f"""
-WITH b0 AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+WITH RECURSIVE b0 AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 b AS (SELECT * FROM b0 {small}), t AS (SELECT greatest(2, CAST(ceil(count(DISTINCT basket) * 4 / 1000.0) AS BIGINT)) AS s FROM b),
-f AS (
-  SELECT item AS items, 1 AS size, count(*) AS support FROM b GROUP BY 1
-  UNION ALL SELECT x.item || ',' || y.item, 2, count(*) FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item GROUP BY 1
-  UNION ALL SELECT x.item || ',' || y.item || ',' || z.item, 3, count(*) FROM b x JOIN b y ON x.basket = y.basket AND x.item < y.item JOIN b z ON x.basket = z.basket AND y.item < z.item GROUP BY 1)
-SELECT items, support, size FROM f WHERE support {compare} (SELECT s FROM t) AND size <= {most}"""
+f(basket, items, last, size) AS (
+  SELECT basket, item, item, 1 FROM b UNION ALL SELECT f.basket, f.items || ',' || b.item, b.item, f.size + 1 FROM f JOIN b ON f.basket = b.basket AND b.item > f.last)
+SELECT items, size, count(*) AS support FROM f GROUP BY 1, 2 HAVING count(*) {compare} (SELECT s FROM t)"""
 
 
-STATS = "SELECT cluster, dim, count(*) AS n, sum(x) AS t, sum(x * x) AS q FROM (SELECT vec_id AS id, CAST(label AS BIGINT) AS cluster, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id % 5 = 0) GROUP BY 1, 2"
+STATS = "SELECT cluster, dim, count(*) AS n, sum(x) AS t, sum(x * x) AS q FROM (SELECT vec_id AS id, CAST(label AS BIGINT) AS cluster, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY 1, 2"
 ORACLES = {
     "minhash_signatures": f"""
 WITH {hash_table(100)}
 SELECT l_suppkey, CAST(i AS BIGINT) AS i, CAST(min((a * l_partkey + b) % {similarity.PRIME}) AS BIGINT) AS value FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), h GROUP BY 1, 2""",
     "jaccard_lsh": PAIRS,
     "jaccard_exact": PAIRS,
-    "frequent_itemsets": f"SELECT items, support FROM ({_levels(0, '>=', 3)})",
-    "frequent_itemsets_strict": f"SELECT items, support FROM ({_levels(3, '>', 3)})",
-    "son_itemsets": f"SELECT items, support FROM ({_levels(0, '>=', 3)})",
+    "frequent_itemsets": f"SELECT items, support FROM ({_levels(0, '>=')})",
+    "frequent_itemsets_strict": f"SELECT items, support FROM ({_levels(3, '>')})",
+    "son_itemsets": f"SELECT items, support FROM ({_levels(0, '>=')})",
     "itemset_report": f"""
-SELECT CAST(size AS INTEGER) AS size, string_agg('(''' || replace(items, ',', ''', ''') || ''')', ',' ORDER BY string_split(items, ',')) AS line FROM ({_levels(3, '>', 2)}) GROUP BY size
+SELECT CAST(size AS INTEGER) AS size, string_agg('(''' || replace(items, ',', ''', ''') || ''')', ',' ORDER BY string_split(items, ',')) AS line FROM ({_levels(3, '>')}) GROUP BY size
 UNION ALL SELECT 0, 'Frequent Itemsets:'""",
     "cluster_summaries": f"SELECT cluster, n, CAST(dim AS BIGINT) AS dim, round(t, 4) AS total, round(q, 4) AS squares FROM ({STATS})",
     "nearest_summaries": f"""
 WITH s AS ({STATS}),
-p AS (SELECT vec_id AS id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id % 5 <> 0),
+p AS (SELECT vec_id AS id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 d AS (SELECT id, cluster, sqrt(sum(pow(x - t / n, 2) / CASE WHEN q / n - pow(t / n, 2) > 1e-12 THEN q / n - pow(t / n, 2) ELSE 1 END)) AS distance FROM p JOIN s USING (dim) GROUP BY 1, 2),
 b AS (SELECT id, min(distance) AS distance, arg_min(cluster, distance) AS cluster FROM d GROUP BY 1)
 SELECT id, CASE WHEN distance < 16 THEN cluster ELSE -1 END AS cluster, round(CASE WHEN distance < 16 THEN distance ELSE -1 END, 4) AS distance FROM b""",

@@ -23,6 +23,13 @@ def bloom_filter(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.bloom_flags(stream(spark, sf))
 
 
+def bloom_filter_of_names(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2, ST4, F7: string elements."""
+    names = parquet(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_name")
+    named = stream(spark, sf).join(names, "key").select("seq", "batch", F.col("c_name").alias("key"))
+    return sketches.bloom_flags(sketches.numbered(named))
+
+
 def false_positive_rates(spark: SparkSession, sf: str) -> DataFrame:
     """ST1, ST3: running rates at the ends of batches."""
     rates = sketches.false_positive_rates(sketches.bloom_flags(stream(spark, sf)))
@@ -62,17 +69,28 @@ def streamed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return structured.in_batches(structured.event_stream(spark, sf), per_batch).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bloom_filter, false_positive_rates, distinct_estimates, distinct_estimates_half, reservoir, sampled_stream, streamed_counts, streamed_batches)}
+QUERIES = {f.__name__: f for f in (bloom_filter, bloom_filter_of_names, false_positive_rates, distinct_estimates, distinct_estimates_half, reservoir, sampled_stream, streamed_counts, streamed_batches)}
 
 STREAM = f"stream AS (SELECT o_orderkey + 1 AS seq, o_orderkey // {BATCH} AS batch, o_custkey AS key FROM orders)"
 
 
-FLAGS = f"""
-WITH {STREAM}, {hash_table(sketches.BLOOM_HASHES)}, cells AS (SELECT seq, batch, key, (a * key + b) % {PRIME} % {sketches.BLOOM_BITS} AS cell FROM stream, h),
+NAMED = f"""
+names(c_custkey, code, i, acc) AS (
+  SELECT c_custkey, hex(encode(c_name)), 0, CAST(0 AS BIGINT) FROM customer
+  UNION ALL SELECT c_custkey, code, i + 1, (acc * 256 + CAST(('0x' || substr(code, 2 * i + 1, 2)) AS BIGINT)) % {PRIME} FROM names WHERE 2 * i < length(code)),
+stream AS (SELECT o_orderkey + 1 AS seq, o_orderkey // {BATCH} AS batch, acc AS key FROM orders JOIN names ON o_custkey = c_custkey AND 2 * i = length(code))"""
+
+
+def _flags(source: str) -> str:
+    return f"""
+WITH RECURSIVE {source}, {hash_table(sketches.BLOOM_HASHES)}, cells AS (SELECT seq, batch, key, (a * key + b) % {PRIME} % {sketches.BLOOM_BITS} AS cell FROM stream, h),
 f AS (SELECT cell, min(seq) AS first FROM cells GROUP BY 1), n AS (SELECT key, min(seq) AS new_at FROM stream GROUP BY 1),
 flags AS (SELECT seq, batch, c.key, bool_or(first < seq) AS seen_any, bool_and(first < seq) AS seen_all, seq = any_value(new_at) AS is_new FROM cells c JOIN f USING (cell) JOIN n ON n.key = c.key GROUP BY 1, 2, 3)"""
 
 
+FLAGS = _flags(STREAM)
+
+
 def _estimates(condition: str) -> str:
     return f"""
 WITH {STREAM}, {hash_table(sketches.FM_HASHES)}, v AS (SELECT batch, i, (a * key + b) % {PRIME} AS v FROM (SELECT DISTINCT batch, key FROM stream), h),
@@ -84,6 +102,7 @@ SELECT s.batch, n_elements, n_distinct, estimate FROM (SELECT batch, count(*) AS
 
 ORACLES = {
     "bloom_filter": f"{FLAGS} SELECT * FROM flags",
+    "bloom_filter_of_names": f"{_flags(NAMED)} SELECT * FROM flags",
     "false_positive_rates": f"""{FLAGS}, o AS (SELECT batch, count(*) AS n, count(*) FILTER (seen_any AND is_new) AS p, count(*) FILTER (seen_all AND is_new) AS q FROM flags GROUP BY 1)
 SELECT batch, round((sum(p) OVER w / sum(n) OVER w)::DOUBLE, 6) AS any_rate, round((sum(q) OVER w / sum(n) OVER w)::DOUBLE, 6) AS all_rate FROM o WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)""",
     "distinct_estimates": _estimates("true"),

@@ -1,13 +1,13 @@
 """Stream sketches in set form: what a loop over elements keeps in mutable state is here a function of sequence numbers.
 
-Inputs are rows of (seq, batch, key): seq from 1 without ties, key a long below 2^31."""
+Inputs are rows of (seq, batch, key): seq from 1 without ties, key a long below 2^31; ``numbered`` makes one of a string."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.scalars import affine, trailing_zeros
+from loomwork.functions.scalars import affine, trailing_zeros, utf8_mod
 from loomwork.operators.similarity import PRIME, coefficients
 
 BLOOM_BITS, BLOOM_HASHES = 69_997, 5
@@ -15,6 +15,11 @@ FM_HASHES, FM_GROUP = 200, 8
 RESERVOIR, SNAPSHOT_EVERY, SNAPSHOT_SLOTS = 100, 100, (0, 20, 40, 60, 80)
 
 
+def numbered(stream: DataFrame, key: str = "key") -> DataFrame:
+    """stream with its string keys as numbers: their bytes as one integer, mod the hash functions' prime."""
+    return stream.withColumn(key, utf8_mod(F.col(key), PRIME))
+
+
 def bloom_flags(stream: DataFrame, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
     """(seq, batch, key, seen_any, seen_all, is_new): whether any (all) of the element's bits were set before it. A bit is set
     from the first element that hashes to it; an element's own hashes do not count against it."""

@@ -1,18 +1,21 @@
 """Small fixtures with values worked out by hand, round trips, and edge cases."""
 
 import math
+import random
+import struct
 from collections import Counter
 from itertools import combinations
 
 import pytest
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwork.functions import scalars
 from loomwork.operators import cluster, features, graph, itemsets, recommend, relational, similarity
-from loomwork.plans import graphs, mining, ratings, summaries
-from loomwork.sources import readers, sinks
+from loomwork.plans import graphs, mining, registry
+from loomwork.sources import readers, sinks, storage
 from loomwork.streaming import sketches
 
 
@@ -121,28 +124,6 @@ def test_itemsets_of_every_size(spark, sf_dir):
     assert lines == Counter(map(len, strict))
 
 
-@pytest.mark.parametrize("plan, name, filters", [
-    (summaries, "lookup_counts", ["WHERE l_orderkey % 40 = 0"]), (mining, "cluster_summaries", ["WHERE vec_id % 5 = 0"]),
-    (mining, "nearest_summaries", ["WHERE vec_id % 5 = 0", "WHERE vec_id % 5 <> 0"])])
-def test_queries_over_all_rows(spark, sf_dir, same_rows, plan, name, filters):
-    """The rows of the SQL without its filters."""
-    sql = plan.ORACLES[name]
-    for text in filters:
-        assert text in sql
-        sql = sql.replace(text, "")
-    same_rows(plan.QUERIES[name](spark, sf_dir), sql)
-
-
-def test_item_weights_of_all_parts(spark, sf_dir, duck):
-    """The rows of the SQL without its filter; sums differ in their last digits."""
-    sql = ratings.ORACLES["item_weights"]
-    assert "WHERE item < 100" in sql
-    want = {(a, b): (w, n) for a, b, w, n in duck.execute(sql.replace("WHERE item < 100", "")).fetchall()}
-    got = {(r["item"], r["other"]): (r["weight"], r["common"]) for r in ratings.item_weights(spark, sf_dir).collect()}
-    assert got.keys() == want.keys() and max(max(k) for k in got) > 100
-    assert all(got[k][1] == n and math.isclose(got[k][0], w, abs_tol=2e-6) for k, (w, n) in want.items())
-
-
 def test_jaccard(spark):
     sets = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 1), ("b2", 2), ("b2", 2), ("b3", 2), ("b4", None)], "b string, u int")
     want = {("b1", "b2"): 1.0, ("b1", "b3"): 0.5, ("b2", "b3"): 0.5}
@@ -150,6 +131,34 @@ def test_jaccard(spark):
         assert {(r["id_1"], r["id_2"]): r["similarity"] for r in join(sets, "b", "u").collect()} == want
 
 
+@pytest.mark.parametrize("bucket_members", [similarity.BUCKET_MEMBERS, 1])
+def test_jaccard_with_equal_sets_and_crowded_buckets(spark, monkeypatch, bucket_members):
+    """A third of all sets are one; with one member a bucket every pair goes through rare members."""
+    monkeypatch.setattr(similarity, "BUCKET_MEMBERS", bucket_members)
+    rng = random.Random(2)
+    held = {f"s{k:03}": set(range(6)) if k % 3 == 0 else set(rng.sample(range(12), rng.randint(1, 8))) for k in range(45)}
+    sets = spark.createDataFrame([(k, m) for k, own in held.items() for m in own], "k string, m int")
+    want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in combinations(sorted(held.items()), 2) if 2 * len(x & y) >= len(x | y)}
+    for join in (similarity.jaccard_lsh, similarity.jaccard_exact):
+        assert {(r["id_1"], r["id_2"]): r["similarity"] for r in join(sets, "k", "m").collect()} == want
+
+
+def test_overlap_threshold(spark):
+    rng = random.Random(4)
+    held = {k: set(rng.sample(range(30), rng.randint(0, 9))) | {99} for k in range(40)}
+    rows = spark.createDataFrame([(k, m) for k, own in held.items() for m in own] * 2, "n int, i int")
+    for least in (1, 3, 12):
+        want = {(a, b): len(held[a] & held[b]) for a, b in combinations(held, 2) if len(held[a] & held[b]) >= least}
+        assert {(r["src"], r["dst"]): r["weight"] for r in graph.overlapping(rows, "n", "i", least).collect()} == want
+
+
+def test_credits_of_one_root(spark):
+    """A square with a tail: d has two shortest paths from a, and passes on what it and e have in halves."""
+    given = edges(spark, "ab", "ac", "bd", "cd", "de")
+    found = graph.credits(graph.shortest_paths(given), given).where("root = 'a'").collect()
+    assert {(r["parent"], r["id"]): r["credit"] for r in found} == {("a", "b"): 2, ("a", "c"): 2, ("b", "d"): 1, ("c", "d"): 1, ("d", "e"): 1}
+
+
 def test_collaborative_filtering(spark):
     rated = spark.createDataFrame([("u1", "i1", 5.0), ("u1", "i2", 3.0), ("u2", "i1", 4.0), ("u2", "i2", 2.0), ("u2", "i3", 4.0), ("u3", "i1", 1.0), ("u3", "i3", 2.0)], "user string, item string, stars double")
     pairs = spark.createDataFrame([("i1", "i2"), ("i1", "i3"), ("i2", "i3")], "item string, other string")
@@ -172,6 +181,10 @@ def test_city_average_and_dense_index(spark):
     assert {tuple(r) for r in relational.average_per_group(reviews, cities, "b", "city", "stars").collect()} == {("P", 3.0), ("Q", 5.0)}
     index = relational.dense_index(spark.createDataFrame([(7,), (7,), (-3,), (None,), (100,)], "v long"), "v").collect()
     assert sorted(map(tuple, index)) == [(-3, 0), (7, 1), (100, 2)]
+    names = ["b", "a", "é", "a", None, "Z", "ab"]
+    index = relational.dense_index(spark.createDataFrame([(v,) for v in names], "v string"), "v").collect()
+    assert sorted(map(tuple, index), key=lambda r: r[1]) == [("Z", 0), ("a", 1), ("ab", 2), ("b", 3), ("é", 4)]
+    assert relational.dense_index(spark.createDataFrame([], "v string"), "v").count() == 0
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -188,21 +201,107 @@ def test_stream_sketches(spark, keys):
 
 
 def test_bfr_places_every_point(spark):
-    import random
-
-    random.seed(3)
-    rows = [(i, [random.gauss(10 * (i % 3), 0.3), random.gauss(-10 * (i % 3), 0.3)]) for i in range(240)]
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(10 * (i % 3), 0.3), rng.gauss(-10 * (i % 3), 0.3)]) for i in range(240)]
     found, rounds = cluster.bfr(spark.createDataFrame(rows, "id long, features array<double>"), 3, rounds=2)
     placed = {r["id"]: r["cluster"] for r in found.collect()}
     assert sorted(placed) == list(range(240)) and rounds.count() == 2
     assert sum(c >= 0 for c in placed.values()) > 200
 
 
+def test_bfr_keeps_blobs_apart_and_counts_every_point(spark):
+    """Two tight blobs, and five single points far from them and from each other."""
+    rng = random.Random(7)
+    rows = [(i, [100.0 * (i % 2) + rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(300)] + [(1000 + k, [1e4 * (k + 1), -3e4 * (k + 1) ** 2]) for k in range(5)]
+    found, rounds = cluster.bfr(spark.createDataFrame(rows, "id long, features array<double>"), 2, rounds=3)
+    placed = {r["id"]: r["cluster"] for r in found.collect()}
+    homes = [Counter(placed[i] for i in range(k, 300, 2)).most_common(1)[0] for k in (0, 1)]
+    assert homes[0][0] != homes[1][0] and all(c >= 0 and n >= 120 for c, n in homes)
+    assert not {placed[1000 + k] for k in range(5)} & {homes[0][0], homes[1][0]}
+    turns = Counter(r["turn"] for r in spark.createDataFrame(rows, "id long, features array<double>").select(F.pmod(F.xxhash64(F.lit(0), "id"), F.lit(3)).alias("turn")).collect())
+    lines = rounds.orderBy("round").collect()
+    for k, r in enumerate(lines):
+        assert r["ds_points"] + r["cs_points"] + r["rs_points"] == sum(turns[t] for t in range(k + 1))
+    assert lines[-1]["rs_points"] == sum(c == -1 for c in placed.values())
+    report = sinks.cluster_report(rounds, found).orderBy("section", "nth").collect()
+    assert [r["line"] for r in report if r["section"] == 0][1].startswith("Round 1: ") and len(report) == 2 + 3 + len(rows)
+
+
+def test_merging_of_close_clusters(spark):
+    """0 and 1 overlap, 2 overlaps 1, 3 is far: the first three go together, and their sums add up."""
+    points = [(c, [m + d, d]) for c, m in ((0, 0.0), (1, 2.0), (2, 4.0), (3, 500.0)) for d in (-1.0, 0.0, 1.0)]
+    stats = cluster.summaries(spark.createDataFrame(points, "cluster long, features array<double>"))
+    into = cluster.merge_close(stats, 2 * math.sqrt(2))
+    assert {r["cluster"]: r["into"] for r in into.collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    all_ = cluster.merged(stats.join(into, "cluster").drop("cluster").withColumnRenamed("into", "cluster"))
+    assert {r["cluster"]: (r["n"], r["total"], r["squares"]) for r in all_.collect()}[0] == (9, [18.0, 0.0], [66.0, 6.0])
+
+
+def test_nearest_summary_either_way(spark, monkeypatch):
+    rng = random.Random(1)
+    points = spark.createDataFrame([(i, i % 4, [rng.gauss(i % 4, 0.5) for _ in range(3)]) for i in range(80)] + [(99, None, [50.0, 50.0, 50.0])], "id long, cluster long, features array<double>")
+    stats = cluster.summaries(points.where("cluster is not null"))
+    look = lambda: sorted((r["id"], r["cluster"], r["distance"] and round(r["distance"], 9)) for r in cluster.nearest(points.select("id", "features"), stats, 6.0).collect())
+    first = look()
+    monkeypatch.setattr(cluster, "MOST_BROADCAST", -1)
+    assert look() == first and first[-1] == (99, None, None)
+    assert cluster.nearest(points.select("id", "features"), stats.limit(0), 6.0).where("cluster is null").count() == 81
+
+
+def test_rating_model_learns_and_keeps_keys(spark):
+    rng = random.Random(9)
+    rows = [(f"u{i}", f"b{i % 17}", float(x := rng.randint(0, 9)), float(y := rng.randint(0, 1)), 1.0 + x / 3 * y + rng.gauss(0, 0.1)) for i in range(600)]
+    data = spark.createDataFrame(rows, "user_id string, business_id string, x double, y double, stars double")
+    train, test = data.where("substring(user_id, -1) != '7'"), data.where("substring(user_id, -1) = '7'")
+    scored = features.rating_model(train, ["x", "y"], trees=20, depth=3, rate=0.3).transform(test)
+    rmse = relational.error_measures(scored, "stars", "prediction").first()
+    spread = test.agg(F.stddev("stars")).first()[0]
+    assert rmse["n"] == 60 == scored.select("user_id", "business_id").distinct().count() and rmse["rmse"] < 0.3 * spread
+
+
+def test_rating_queries(spark, sf_dir, monkeypatch):
+    from loomwork.plans import ratings
+
+    monkeypatch.setattr(ratings, "TREES", 3)
+    assert len(features.EXTENDED) == 23
+    known = {(r["user_id"], r["business_id"]): r["given"] for r in ratings.pairs(spark, sf_dir).collect()}
+    for query in (ratings.rating_model, ratings.extended_rating_model):
+        found = query(spark, sf_dir).collect()
+        assert 0.02 * len(known) < len(found) < 0.1 * len(known)
+        assert all(known[r["user_id"], r["business_id"]] == r["given"] and 0 < r["prediction"] < 6 for r in found)
+
+
+def test_sampled_stream_by_its_hash(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    start = xxhash.xxh64_intdigest(struct.pack("<i", 1), seed=42)
+    draw = lambda seq: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", seq), seed=start)))[0] % n
+    keys = {r["c_custkey"]: r["c_name"] for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect()}
+    want = sorted((k, (k - 1) // 100, draw(k), keys[draw(k)]) for k in range(1, 3001) if draw(k) in keys)
+    assert sorted((r["seq"], r["batch"], r["key"], r["c_name"]) for r in registry.QUERIES["sampled_stream"](spark, sf_dir).collect()) == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, getConf = "spark://x:7077", staticmethod(Conf)
+
+    with pytest.raises(ValueError):
+        storage.shared_dir(Session)
+
+
 def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"review_id": "a", "user_id": "u", "business_id": "b", "stars": 4.0, "date": "2018-01-01"}\n')
     assert readers.json_lines(spark, str(tmp_path / "r.json"), readers.REVIEW).first()["stars"] == 4.0
     (tmp_path / "q.csv").write_text('"D","C","A","S","T","P"\n"2000-01-01","00012","x","y","z","0099"\n')
     assert tuple(readers.quoted_csv(spark, str(tmp_path / "q.csv"), {0: ("day", "string"), 1: ("customer", "int"), 5: ("product", "long")}, 6).first()) == ("2000-01-01", 12, 99)
+    (tmp_path / "three.csv").write_text("user, , business, , stars\nu1, , b1, , 3.5\nu2, , b2, , 1.0\n")
+    assert [tuple(r) for r in readers.csv_table(spark, str(tmp_path / "three.csv"), readers.RATING, separator=", , ").collect()] == [("u1", "b1", 3.5), ("u2", "b2", 1.0)]
     (tmp_path / "m.csv").write_text("0,1,0.5,1.5\n1,2,2.5,3.5\n")
     assert [r["features"] for r in readers.numeric_matrix(spark, str(tmp_path / "m.csv"), 2).orderBy("id").collect()] == [[0.5, 1.5], [2.5, 3.5]]
     (tmp_path / "t.txt").write_text("user_id,x\na,1\n")

@@ -11,7 +11,7 @@ def test_query_matches_sql(spark, sf_dir, same_rows, name):
     same_rows(registry.QUERIES[name](spark, sf_dir), registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["default_partitions", "sampled_stream", "bfr_rounds"])
+@pytest.mark.parametrize("name", ["default_partitions", "partition_report", "top_k_timing", "bfr_rounds"])
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
