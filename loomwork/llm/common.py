@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables, the shared folder, bounded text slices."""
+"""What the operators of this subpackage share: tables, free column names, bounded text slices."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.sources.storage import dropped, shared_dir, stored
 from loomwork.sources.workers import shipped
 
+__all__ = ["by_text", "dropped", "record_batches", "shared_dir", "shipped", "slices", "stored", "table", "unused"]
+
 #: Characters of text that one numpy pass holds at a time.
 SLICE_CHARS = 1_000_000
-#: Files of a stored table whose rows are bounded by a count.
-LEAST_FILES, ROWS_PER_FILE = 8, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,43 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; one of our own only where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = f"file://{tempfile.mkdtemp(prefix='loomwork-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
-
-
-def stored(df: DataFrame, what: str, scratch: list[str] | None = None, rows: int | None = None) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, so that a lost executor costs no
-    earlier stage. The files go when the application ends, or, noted in scratch, with ``dropped``.
-    rows, a bound on df's rows where one is known, keeps small tables in few files."""
-    spark = df.sparkSession
-    if rows is not None:
-        df = df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    files, hadoop_path = _file_system(spark, path)
-    files.deleteOnExit(hadoop_path)
-    if scratch is not None:
-        scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, scratch: list[str]) -> None:
-    """Delete tables that nothing reads any more."""
-    for path in scratch:
-        files, hadoop_path = _file_system(spark, path)
-        files.delete(hadoop_path, True)
-    scratch.clear()
+def unused(name: str, df: DataFrame) -> str:
+    """name, made longer until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[tuple[int, int, list[str]]]:
