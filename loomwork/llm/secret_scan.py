@@ -2,21 +2,30 @@
 
 Base spans are the matches of three patterns (assignments of passwords and the like, access keys, long hex runs). Beyond
 them every long token of base64 characters that overlaps no base span is tested. Its encoding is inferred (hex, base32,
-letters and digits, base64) and with it the alphabet; three tests ask how far it is from language-like text of its length:
-chi-squared uniformity over the alphabet (text repeats letters more than a random string does), runs of character classes
-(text changes between upper case, digits and the rest seldom), and serial correlation of neighbouring symbols. Their
-z-scores are combined (Stouffer), and within each stratum of length the p-values are cut by Benjamini and Hochberg's
-rule at ``FALSE_SHARE``. The cut comes from a histogram of the z-scores (a fixed number of bins a stratum), so it is
-exact up to a bin, on the safe side, and holds for any number of tokens. DataFrame and SQL functions only.
+letters and digits, base64), and three tests ask whether it is a uniform draw from that encoding's alphabet: chi-squared
+over the alphabet's symbols, runs of character classes (changes between upper case, lower case, digits and the rest,
+expected from the classes' shares of the alphabet), and serial correlation of neighbouring symbol numbers. Each gives a
+z-score that is about 0 for a random token and high for text; their sum over the square root of three (Stouffer) is the
+token's departure. A token whose departure is above ``RANDOM_MOST`` is no random one. For the others the departure is
+compared with what text of that encoding and length gives (``TEXT``, measured), which yields a p-value that shrinks with
+length: short tokens tell little, long ones much. Within each stratum of encoding and length the p-values are cut by
+Benjamini and Hochberg's rule at ``FALSE_SHARE``. The cut comes from a histogram of z-scores (a fixed number of bins a
+stratum), so it is exact up to a bin, on the safe side, and holds for any number of tokens. DataFrame and SQL functions
+only; running sums are parallel prefix scans over arrays, so time grows with a text's length times the logarithm of its
+matches.
 
 Defined results: null is the empty text, without spans; spans are code points with exclusive ends; where kinds start
-together they go in the order assign, access, hex, random; repeated rows give repeated rows; an empty table gives an
-empty result; other columns are not read. Texts are searched whole.
+together they go in the order assign, access, hex, random; repeated rows give repeated rows; ties in departure fall into
+the same bin and are kept or left together; an empty table gives an empty result; other columns are not read. Texts and
+tokens are searched whole, however long.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from statistics import NormalDist
+from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,73 +39,116 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
-#: Language-like text: chance that two of its letters are equal, that neighbours differ in class, their correlation.
-TEXT_EQUAL, TEXT_CHANGE, TEXT_SERIAL = 0.066, 0.10, 0.35
-FALSE_SHARE, BIN, MOST_BINS = 0.01, 0.05, 400
+#: Alphabets of the encodings, symbols in the order of their values; hex is read in lower case, - and _ as + and /.
+ALPHABETS = (digits + "abcdef", ascii_uppercase + "234567", ascii_uppercase + ascii_lowercase + digits, ascii_uppercase + ascii_lowercase + digits + "+/")
+CLASSES = "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"
+FALSE_SHARE, BIN, MOST_BINS = 0.05, 0.05, 400
+#: One random token in a thousand departs by more.
+RANDOM_MOST = 4.0
+#: Lengths where strata begin, after the least one of 20.
 STRATA = (24, 32, 48, 64)
+#: Departure (mean, standard deviation) of text of each encoding, at the least length of each stratum; measured on words
+#: of the documents: runs of dates and hex words, upper case, capitalized words with numbers, words joined by _ - /.
+TEXT = (
+    ((5.0, 1.3), (5.5, 1.4), (6.7, 1.5), (8.9, 1.8), (10.9, 2.0)),
+    ((3.5, 1.3), (4.1, 1.3), (5.4, 1.5), (7.9, 1.7), (10.3, 1.9)),
+    ((3.2, 1.7), (3.8, 1.8), (5.0, 2.0), (7.2, 2.1), (9.4, 2.2)),
+    ((4.9, 1.6), (5.9, 1.7), (7.5, 1.7), (11.1, 2.0), (14.4, 2.1)),
+)
 
 
-def spans(text: str, pattern: str, kind: str, value: int = 0, least: int = 0) -> Column:
-    """Array of (start, kind number, kind, end) of the pattern's matches; of group ``value`` only ``least`` characters and more.
+def let(value: str, name: str, body: str) -> str:
+    """SQL for body, in which name stands for value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    The pieces between matches and the matches give running offsets; texts without a match are searched once."""
+
+def running(lengths: str) -> str:
+    """SQL for the running sums of an array of ints: in step k each place adds what stands 2^k places before it."""
+    step = "IF(shiftleft(1, k) < size(x), transform(x, (v, i) -> v + IF(i >= shiftleft(1, k), x[i - shiftleft(1, k)], 0)), x)"
+    return let(lengths, "d", f"aggregate(sequence(0, cast(ceil(log2(greatest(size(d), 2))) AS int)), d, (x, k) -> {step})")
+
+
+def spans(text: str, pattern: str, kind: str, value: int = 0, least: int = 0, held: bool = False) -> Column:
+    """Array of (start, kind number, kind, end, size) of the pattern's matches in order, with the match itself if held; of
+    group ``value`` only ``least`` characters and more. Column {text}_{kind} has the pieces between matches: texts without
+    a match are searched once."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    number = KINDS.index(kind)
-    values = f"regexp_extract_all({text}, '{quoted}', {value})" if value else "m"
-    return F.expr(f"""
-      CASE WHEN size({text}_{kind}) > 1 THEN
-        filter(aggregate(
-          sequence(1, size({text}_{kind}) - 1),
-          named_struct('at', 0, 'm', regexp_extract_all({text}, '{quoted}', 0), 'v', {values.replace("m", f"regexp_extract_all({text}, '{quoted}', 0)") if values == "m" else values},
-                       'out', cast(array() AS array<struct<start:int,number:int,kind:string,end:int,size:int>>)),
-          (a, i) -> named_struct(
-            'at', a.at + char_length({text}_{kind}[i - 1]) + char_length(a.m[i - 1]), 'm', a.m, 'v', a.v,
-            'out', array_append(a.out, named_struct('start', a.at + char_length({text}_{kind}[i - 1]), 'number', {number}, 'kind', '{kind}',
-                   'end', a.at + char_length({text}_{kind}[i - 1]) + char_length(a.m[i - 1]), 'size', char_length(a.v[i - 1]))))
-          ).out, x -> x.size >= {least})
-      ELSE cast(array() AS array<struct<start:int,number:int,kind:string,end:int,size:int>>) END""")
-
-
-def randomness(token: str) -> str:
-    """SQL for the combined z-score of a token: high where it looks random and not like text."""
-    s = f"rtrim('=', {token})"
-    alphabet = f"CASE WHEN {s} RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 16D WHEN {s} RLIKE '^[A-Z2-7]+$' THEN 32D WHEN {s} RLIKE '^[A-Za-z0-9]+$' THEN 62D ELSE 64D END"
-    codes = f"transform(regexp_extract_all({s}, '.', 0), c -> instr('{SYMBOLS}', c))"
-    kind = "CASE WHEN {0} <= 26 THEN 0 WHEN {0} <= 52 THEN 1 WHEN {0} <= 62 THEN 2 ELSE 1 END"
-    sums = f"""aggregate(sequence(1, size(t.c)), named_struct('equal', 0D, 'changes', 0D, 'xy', 0D, 'x', 0D, 'xx', 0D),
-      (a, i) -> named_struct(
-        'equal', a.equal + size(filter(t.c, y -> y = t.c[i - 1])) - 1,
-        'changes', a.changes + CASE WHEN i > 1 AND ({kind.format('t.c[i - 1]')}) <> ({kind.format('t.c[greatest(i - 2, 0)]')}) THEN 1 ELSE 0 END,
-        'xy', a.xy + CASE WHEN i > 1 THEN cast(t.c[i - 1] AS double) * t.c[greatest(i - 2, 0)] ELSE 0 END,
-        'x', a.x + t.c[i - 1], 'xx', a.xx + cast(t.c[i - 1] AS double) * t.c[i - 1]))"""
-    # Pairs of equal symbols n(n-1)/2 q: chi-squared is their number, scaled by the alphabet; q is 1 / alphabet if uniform.
-    pairs = "(u.n * (u.n - 1) / 2)"
-    text_equal = f"greatest({TEXT_EQUAL}, 1.6 / u.alphabet)"
-    uniform = f"(({pairs} * {text_equal} - u.s.equal / 2) / sqrt({pairs} * {text_equal} * (1 + 0.02 * u.n)))"
-    runs = f"((u.s.changes - (u.n - 1) * {TEXT_CHANGE}) / sqrt((u.n - 1) * {TEXT_CHANGE} * (1 - {TEXT_CHANGE})))"
-    r = "coalesce(try_divide(u.s.xy / (u.n - 1) - pow(u.s.x / u.n, 2), u.s.xx / u.n - pow(u.s.x / u.n, 2)), 1D)"
-    serial = f"(({TEXT_SERIAL} - {r}) * sqrt(u.n))"
-    inner = f"transform(array(named_struct('c', {codes}, 'alphabet', {alphabet})), t -> named_struct('n', cast(size(t.c) AS double), 'alphabet', t.alphabet, 's', {sums}))"
-    return f"transform({inner}, u -> ({uniform} + {runs} + {serial}) / sqrt(3D))[0]"
-
-
-def stratum(length: str) -> str:
-    return "CASE " + " ".join(f"WHEN {length} < {n} THEN {i}" for i, n in enumerate(STRATA)) + f" ELSE {len(STRATA)} END"
-
-
-def cuts(tokens: DataFrame, false_share: float) -> dict[int, float]:
-    """Least z-score that counts in each stratum, from (stratum, bin); at most MOST_BINS rows a stratum reach the driver."""
+    found = lambda group: f"regexp_extract_all({text}, '{quoted}', {group})"
+    both = f"zip_with({found(0)}, {found(value)}, (m, v) -> named_struct('text', m, 'm', char_length(m), 'v', char_length(v)))"
+    ends = running(f"zip_with(slice({text}_{kind}, 1, size({text}_{kind}) - 1), a, (p, w) -> char_length(p) + w.m)")
+    fields = {"start": "e - w.m", "number": str(KINDS.index(kind)), "kind": f"'{kind}'", "end": "e", "size": "w.v"} | ({"text": "w.text"} if held else {})
+    made = f"zip_with({ends}, a, (e, w) -> named_struct({', '.join(f'{k!r}, {v}' for k, v in fields.items())}))"
+    none = f"cast(array() AS array<struct<start:int,number:int,kind:string,end:int,size:int{',text:string' * held}>>)"
+    return F.expr(f"CASE WHEN size({text}_{kind}) > 1 THEN filter({let(both, 'a', made)}, x -> x.size >= {least}) ELSE {none} END")
+
+
+def apart(tokens: str, others: str) -> str:
+    """SQL for the tokens (in order, disjoint) that overlap none of the others: as many others begin before a token's end
+    as end by its start. Both are counted along one sorted array of starts and ends."""
+    event = lambda array, at, order: f"transform({array}, x -> named_struct('at', x.{at}, 'o', {order}))"
+    events = f"array_sort(concat({event(others, 'end', 0)}, {event(tokens, 'start', 1)}, {event(tokens, 'end', 2)}, {event(others, 'start', 3)}))"
+    flags = lambda order: running(f"transform(e, x -> IF(x.o = {order}, 1, 0))")
+    count = lambda order, kept: f"transform(filter(zip_with(e, {flags(kept)}, (x, n) -> named_struct('o', x.o, 'n', n)), x -> x.o = {order}), x -> x.n)"
+    clear = let(events, "e", f"zip_with({count(2, 3)}, {count(1, 0)}, (begun, ended) -> begun = ended)")
+    kept = f"transform(filter(zip_with({tokens}, {clear}, (x, ok) -> named_struct('x', x, 'ok', ok)), y -> y.ok), y -> y.x)"
+    return f"CASE WHEN size({tokens}) = 0 OR size({others}) = 0 THEN {tokens} ELSE {kept} END"
+
+
+def class_moments(alphabet: str) -> tuple[float, float, float]:
+    """Of neighbours drawn from the alphabet: the chance that their classes differ, its variance, and the covariance of
+    two such changes in a row."""
+    sizes = Counter(next(k for k, p in enumerate(CLASSES.split("|")) if re.match(p, c)) for c in alphabet)
+    shares = [n / len(alphabet) for n in sizes.values()]
+    change = 1 - sum(p * p for p in shares)
+    return change, change * (1 - change), sum(p * (1 - p) ** 2 for p in shares) - change**2
+
+
+def departure(token: str) -> str:
+    """SQL for (encoding, u): the encoding's number, and how far a token is from a uniform draw of its alphabet."""
+    encoding = "CASE WHEN s RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 0 WHEN s RLIKE '^[A-Z2-7]+$' THEN 1 WHEN s RLIKE '^[A-Za-z0-9]+$' THEN 2 ELSE 3 END"
+    of = lambda values: f"array({', '.join(values)})[b.encoding]"
+    moment = lambda k: of([f"{class_moments(a)[k]!r}D" for a in ALPHABETS])
+    symbols = of([f"array({', '.join(repr(c) for c in a)})" for a in ALPHABETS])
+    squares = f"aggregate({symbols}, 0D, (a, c) -> a + pow(b.n - char_length(replace(b.s, c, '')), 2))"
+    chi = f"((b.size / b.n * {squares} - b.n - (b.size - 1)) / sqrt(2 * (b.size - 1) * (b.n - 1) / b.n))"
+    changes = f"(size(regexp_extract_all(b.s, '{CLASSES}', 0)) - 1)"
+    runs = f"(({changes} - (b.n - 1) * {moment(0)}) / sqrt((b.n - 1) * {moment(1)} + 2 * (b.n - 2) * {moment(2)}))"
+    codes = f"transform(regexp_extract_all(b.s, '.', 0), c -> cast(instr({of([repr(a) for a in ALPHABETS])}, c) AS double))"
+    sums = """aggregate(sequence(1, size(c)), named_struct('x', 0D, 'xx', 0D, 'xy', 0D),
+      (a, i) -> named_struct('x', a.x + c[i - 1], 'xx', a.xx + c[i - 1] * c[i - 1], 'xy', a.xy + IF(i > 1, c[i - 1] * c[greatest(i - 2, 0)], 0D)))"""
+    r = "coalesce(try_divide(q.xy / (b.n - 1) - pow(q.x / b.n, 2), q.xx / b.n - pow(q.x / b.n, 2)), 1D)"
+    serial = let(let(codes, "c", sums), "q", f"(({r} + 1 / b.n) * sqrt(b.n))")
+    plain = "CASE WHEN e = 0 THEN lower(s) WHEN e = 3 THEN translate(s, '-_', '+/') ELSE s END"
+    held = let(f"rtrim('=', {token})", "s", let(encoding, "e", f"named_struct('s', {plain}, 'encoding', e, 'n', cast(char_length(s) AS double), 'size', cast(array({', '.join(str(len(a)) for a in ALPHABETS)})[e] AS double))"))
+    return let(held, "b", f"named_struct('encoding', b.encoding, 'u', ({chi} - {runs} + {serial}) / sqrt(3D))")
+
+
+def stratum(x: str) -> str:
+    """SQL for the number of a tested token's stratum: by encoding, then by length."""
+    length = f"({x}.span.end - {x}.span.start)"
+    return f"({x}.d.encoding * {len(STRATA) + 1} + CASE " + " ".join(f"WHEN {length} < {n} THEN {i}" for i, n in enumerate(STRATA)) + f" ELSE {len(STRATA)} END)"
+
+
+def bin_of(x: str) -> str:
+    """SQL for the bin of a tested token's z-score against text, high where it departs from random less than text does."""
+    of = lambda k: "array(" + ", ".join(f"{m[k]}D" for row in TEXT for m in row) + f")[{stratum(x)}]"
+    z = f"greatest(({of(0)} - {x}.d.u) / {of(1)}, 0D)"
+    return f"IF({x}.d.u <= {RANDOM_MOST}, least(cast(floor({z} / {BIN}) AS int), {MOST_BINS}), 0)"
+
+
+def cuts(tokens: DataFrame, false_share: float) -> dict[int, int]:
+    """Least bin that counts in each stratum, from (stratum, bin); at most MOST_BINS rows a stratum reach the driver.
+    Bin 0 never counts: it holds the tokens that are no random ones."""
     tally: dict[int, dict[int, int]] = {}
     for row in tokens.groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect():
         tally.setdefault(row["stratum"], {})[row["bin"]] = row["n"]
     out = {}
     for s, bins in tally.items():
         total, found = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
+        for b in sorted((b for b in bins if b), reverse=True):
             found += bins[b]
             if 1 - NormalDist().cdf(b * BIN) <= false_share * found / total:
-                out[s] = b * BIN
+                out[s] = b
     return out
 
 
@@ -105,16 +157,16 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", false
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", TOKEN)):
         docs = docs.withColumn(f"t_{kind}", F.split("t", pattern, -1))
-    found = docs.select(
-        "doc_id", "t", F.concat(spans("t", ASSIGN, "assign", 2, ASSIGN_LEAST), spans("t", ACCESS, "access"), spans("t", HEX, "hex")).alias("base"), spans("t", TOKEN, "random").alias("long"))
-    beyond = F.expr("filter(long, x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))")
-    found = found.withColumn("long", beyond).withColumn("long", F.expr(f"transform(long, x -> named_struct('span', x, 'z', {randomness('substring(t, x.start + 1, x.end - x.start)')}))"))
-    found = stored(found.select("doc_id", "base", "long"), "secrets")
-    z, size = "greatest(x.z, 0D)", "(x.span.end - x.span.start)"
-    token = found.select(F.explode("long").alias("x")).select(F.expr(stratum(size)).alias("stratum"), F.expr(f"least(cast(floor({z} / {BIN}) AS int), {MOST_BINS})").alias("bin"))
+    base = F.concat(spans("t", ASSIGN, "assign", 2, ASSIGN_LEAST), spans("t", ACCESS, "access"), spans("t", HEX, "hex"))
+    found = docs.select("doc_id", base.alias("base"), spans("t", TOKEN, "random", held=True).alias("long"))
+    found = found.withColumn("long", F.expr(apart("long", "base")))
+    span = "named_struct('start', x.start, 'number', x.number, 'kind', x.kind, 'end', x.end, 'size', x.size)"
+    tested = f"transform(long, x -> named_struct('span', {span}, 'd', {departure('x.text')}))"
+    found = stored(found.select("doc_id", "base", F.expr(tested).alias("long")), "secrets")
+    token = found.select(F.explode("long").alias("x")).select(F.expr(stratum("x")).alias("stratum"), F.expr(bin_of("x")).alias("bin"))
     least = cuts(token, false_share)
-    cut = "CASE " + " ".join(f"WHEN ({stratum(size)}) = {s} THEN {c}D" for s, c in least.items()) + " ELSE 1e300D END" if least else "1e300D"
-    return found.select("doc_id", "base", F.expr(f"transform(filter(long, x -> x.z >= {cut}), x -> x.span)").alias("extra"))
+    cut = f"CASE {stratum('x')} " + " ".join(f"WHEN {s} THEN {c}" for s, c in least.items()) + f" ELSE {MOST_BINS + 1} END" if least else f"{MOST_BINS + 1}"
+    return found.select("doc_id", "base", F.expr(f"transform(filter(long, x -> {bin_of('x')} >= {cut}), x -> x.span)").alias("extra"))
 
 
 def joined(array: Column) -> Column:
