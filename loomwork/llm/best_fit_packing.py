@@ -4,10 +4,12 @@ One pass tokenizes the texts and stores a row for each piece with its length and
 pieces of that length. Only the histogram of lengths (at most ``capacity`` rows) goes to the driver, which plans on
 counts: large lengths are split into groups of equal cardinality and rounded up to the longest of the group; the few
 sizes that remain make a cutting-stock problem, solved by column generation (a knapsack prices each new
-configuration); actual lengths replace the rounded ones in each configuration's slots; what rounding down the
-solution leaves over and all small lengths then go, longest first, where they fit best. The plan says for an interval
-of ranks of one length which sequences take it, and at which offset. Its size depends on the capacity and the number
-of groups only, not on the number of documents, so it travels with the function that applies it.
+configuration); actual lengths replace the rounded ones in each configuration's slots; what is left over and all small
+lengths then go, longest first, where they fit best. Rounding leaves sequences loose, so several plans are made, which
+differ in the number of groups and in the share of each configuration's sequences that is used before best fit takes the
+rest (none at all in the last), and the one with the fewest sequences is kept. A plan says for an interval of ranks of
+one length which sequences take it, and at which offset. Its size depends on the capacity and the number of groups only,
+not on the number of documents, so it travels with the function that applies it.
 
 Defined results: null is the empty text, which is a document of one token (the end); a special string inside a text is
 the library's special token; equal rows each get places of their own; an empty table gives an empty result; other
@@ -36,14 +38,17 @@ from tokenizers import Tokenizer
 from loomwork.llm.common import by_text, slices, stored, table
 from loomwork.llm.token_counts import byte_alphabet
 
-CAPACITY, END_ID, GROUPS, SMALL_SHARE = 1024, 2, 512, 2.5
+CAPACITY, END_ID = 1024, 2
+#: (groups, the part of the capacity above which a length is large) of each linear grouping, and the shares tried.
+GROUPINGS, SHARES = ((512, 2.5), (128, 3.5)), (1.0, 0.5, 0.2)
 PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
 PIECE_DDL = ", ".join(f"{f.name} long" for f in PIECE)
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file. Its ids are its merge ranks, so the same vocabulary runs in the faster of the
-    two public libraries; a text whose white-space run is too long for that one's regex goes through the file's own."""
+    """Token ids of a byte-level BPE file. If its ids follow its merge ranks, the same vocabulary runs in the faster of the
+    two public libraries; a text whose white-space run is too long for that one's regex goes through the file's own, as
+    does every text of another file."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,14 +56,21 @@ class Encoder:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         shown = byte_alphabet()
         ranks = {bytes(shown[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        pairs = (pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"])
+        merged = [spec["model"]["vocab"][a + b] for a, b in pairs]
+        singles = [ranks[bytes((k,))] for k in range(256) if bytes((k,)) in ranks]
+        self.fast = None
+        if all(x < y for x, y in zip([max(singles), *merged], merged)) and len(singles) == 256 and len(ranks) == 256 + len(merged):
+            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
 
     def ids(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
+            if self.fast:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -122,10 +134,35 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [(float(x), basis[:, j].astype(int).tolist()) for j, x in enumerate((inverse * need).sum(axis=1)) if x > 0]
 
 
+class Grouping:
+    """Large lengths rounded up within groups of equal cardinality, and the configurations of the rounded sizes."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int, small_share: float):
+        large = sorted((n for n, c in counts.items() if c and int(capacity / small_share) < n < capacity), reverse=True)
+        total = sum(counts[n] for n in large)
+        # From the longest on: members are [length, number].
+        most, members = -(-total // groups), [[]]
+        room = most
+        for n in large:
+            c = counts[n]
+            while c:
+                if not room:
+                    members.append([])
+                    room = most
+                x = min(c, room)
+                members[-1].append([n, x])
+                c, room = c - x, room - x
+        self.members: dict[int, list[list[int]]] = defaultdict(list)
+        for group in members if total else []:
+            self.members[group[0][0]] += group
+        self.sizes = sorted(self.members, reverse=True)
+        self.solution = configurations(self.sizes, [sum(x for _, x in self.members[s]) for s in self.sizes], capacity) if total else []
+
+
 class Plan:
     """Which sequences take which ranks of each length. A group of like sequences is [first, number, filled]."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS, small_share: float = SMALL_SHARE):
+    def __init__(self, counts: dict[int, int], capacity: int, grouping: Grouping | None = None, share: float = 1.0):
         self.capacity, self.bins = capacity, 0
         #: (length, first rank, first sequence, pieces in each sequence, offset of the first piece)
         self.rows: list[tuple[int, int, int, int, int]] = []
@@ -133,7 +170,10 @@ class Plan:
         self.rank: dict[int, int] = defaultdict(int)
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first, number)]
         self.rooms: list[int] = []
-        self.pack_large(groups, int(capacity / small_share))
+        if grouping:
+            members = {s: [list(m) for m in group] for s, group in grouping.members.items()}
+            for often, slots in grouping.solution:
+                self.substitute(int(share * often + 1e-6), [members[s] for s, k in zip(grouping.sizes, slots) for _ in range(k)])
         self.pack_rest()
 
     def take(self, length: int, number: int, first: int, each: int, offset: int) -> None:
@@ -147,30 +187,6 @@ class Plan:
                 insort(self.rooms, room)
             self.open[room].append((first, number))
 
-    def pack_large(self, groups: int, small: int) -> None:
-        large = sorted((n for n in self.left if n > small), reverse=True)
-        total = sum(self.left[n] for n in large)
-        if not total:
-            return
-        # Groups of equal cardinality, from the longest on: members are (length, number).
-        most, members = -(-total // groups), [[]]
-        room = most
-        for n in large:
-            c = self.left[n]
-            while c:
-                if not room:
-                    members.append([])
-                    room = most
-                x = min(c, room)
-                members[-1].append([n, x])
-                c, room = c - x, room - x
-        merged: dict[int, list[list[int]]] = defaultdict(list)
-        for group in members:
-            merged[group[0][0]] += group
-        sizes = sorted(merged, reverse=True)
-        for often, slots in configurations(sizes, [sum(x for _, x in merged[s]) for s in sizes], self.capacity):
-            self.substitute(int(often + 1e-6), [merged[s] for s, k in zip(sizes, slots) for _ in range(k)])
-
     def substitute(self, number: int, slots: list[list[list[int]]]) -> None:
         """Sequences of one configuration, with actual lengths in their slots."""
         while number > 0 and slots:
@@ -235,6 +251,13 @@ class Plan:
         return [rows[:, 0] << 48 | rows[:, 1], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4]]
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The plan with the fewest sequences; of equal ones the first, which uses most of its configurations."""
+    groupings = [Grouping(counts, capacity, *g) for g in GROUPINGS]
+    plans = [Plan(counts, capacity, g, share) for g in groupings for share in SHARES if g.solution]
+    return min([*plans, Plan(counts, capacity)], key=lambda plan: plan.bins)
+
+
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     pieces = stored(tokenized(df, id_col, text_col, tokenizer, capacity, end_id), "pieces")
@@ -242,7 +265,7 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tally.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0)))
     histogram = tally.groupBy("length").agg(F.sum("n").alias("n")).collect()  # a row for each length: under capacity
-    keys, ranks, firsts, each, places = Plan({r["length"]: r["n"] for r in histogram}, capacity).arrays()
+    keys, ranks, firsts, each, places = best_plan({r["length"]: r["n"] for r in histogram}, capacity).arrays()
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
