@@ -4,13 +4,17 @@ Terms are a text's lower-case words and their beginnings of 4, 5 and 6 character
 logistic(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms present, so a pair (an insult with the mention
 of a group) can weigh more or less than its parts. It is fitted on a bounded sample of the labelled rows
 (``SAMPLE_ROWS``, the first by a hash of the id). Terms get parameters only if the sample's counts tell: a likelihood
-ratio beyond what chance gives among as many terms. The counts are made on the executors; the driver gets the terms
-chosen (``MOST_TERMS`` at most) and, of the sampled rows, the chosen terms they hold. Scoring is one narrow pass over
+ratio beyond what chance gives among as many terms, either over the whole sample or among the texts that hold a term
+which speaks for label 1; so a mention that tells nothing alone, but much beside an insult, is a term too. The counts
+are made on the executors; the driver gets the terms chosen (``MOST_TERMS`` of either kind at most, the most telling)
+and, of the sampled rows, the chosen terms they hold. Scoring is one narrow pass over
 whole texts. The same rows give the same model: rows and terms are sorted before any sum.
 
 Defined results: null is the empty text, which scores what the bias gives; with no labelled rows of both kinds every
 score is the share of label 1 (0 without any); rows without a label are scored like others; repeated rows give repeated
-rows; an empty table gives an empty result; other columns are not read, and labels never enter a score.
+rows (of labelled rows with one id, the least text and the highest label count); ties among terms go by their hash; very
+long texts are read whole; an empty table gives an empty result; other columns are not read, and labels never enter a
+score.
 """
 
 from __future__ import annotations
@@ -35,8 +39,6 @@ PREFIXES = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
 
-
-
 def word_terms(word: str) -> list[int]:
     """Hashes of a word and its beginnings; a whole word is marked by its end, so it differs from a beginning."""
     return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in (word + "$", *(word[:n] for n in PREFIXES if len(word) >= n))]
@@ -117,16 +119,22 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows, cols, len(texts))[0], -30, 30)))
 
 
-def informative(counts: DataFrame, ones: int, zeros: int, n_terms: int) -> np.ndarray:
-    """The terms whose likelihood ratio beats chance among n_terms, the most telling MOST_TERMS."""
-    n = ones + zeros
+def counted(sample: DataFrame) -> DataFrame:
+    """term, ones, zeros over all rows of the sample."""
+    return stored(sample.mapInArrow(_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")), "terms")
+
+
+def informative(counts: DataFrame, ones: int, zeros: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms whose likelihood ratio beats chance, the most telling MOST_TERMS, and those of them that speak for label 1."""
+    n, n_terms = ones + zeros, counts.count()
     ratio = F.lit(0.0)
     for held, of in (("ones", ones), ("zeros", zeros)):
         total = F.col("ones") + F.col("zeros")
         for seen, expected in ((F.col(held), total * of / n), (F.lit(of) - F.col(held), (n - total) * of / n)):
             ratio = ratio + F.when((seen > 0) & (expected > 0), 2 * seen * F.log(seen / expected)).otherwise(0.0)
     chosen = counts.withColumn("ratio", ratio).where(F.col("ratio") > CHANCE * math.log(max(n_terms, 2)))
-    return np.array([r["term"] for r in chosen.orderBy(F.col("ratio").desc(), "term").limit(MOST_TERMS).collect()], np.int64)
+    found = chosen.orderBy(F.col("ratio").desc(), "term").limit(MOST_TERMS).collect()
+    return tuple(np.array([r["term"] for r in rows], np.int64) for rows in (found, [r for r in found if r["ones"] * zeros > r["zeros"] * ones]))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
@@ -134,14 +142,27 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     shipped(docs.sparkSession)
     chosen = labels.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # a bounded table, so it may be broadcast
-    sample = stored(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "labelled")
+    held = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    sample = stored(held, "labelled")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
         share = ones / max(1, ones + zeros)
         return FactorizationMachine(np.zeros(0, np.int64), math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0)
-    counts = stored(sample.mapInArrow(_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")), "terms")
-    model = FactorizationMachine(informative(counts, ones, zeros, counts.count()), math.log(ones / zeros))
+    terms, speaking = informative(counted(sample), ones, zeros)
+    first = FactorizationMachine(speaking, 0.0)
+
+    def speaks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, end, texts in slices(b):
+                yield b.slice(start, end - start).filter(pa.array([bool(first.present(t)) for t in texts], pa.bool_()))
+
+    if len(speaking):
+        near = stored(sample.mapInArrow(speaks, sample.schema), "speaking")
+        within = {r["y"]: r["n"] for r in near.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        if within.get(1) and within.get(0):
+            terms = np.union1d(terms, informative(counted(near), within[1], within[0])[0])
+    model = FactorizationMachine(terms, math.log(ones / zeros))
 
     def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
