@@ -19,7 +19,8 @@ classes are either compared or excluded by a bound, whatever a leader was compar
 
 Defined results: null texts are classes of their own, named by their id; texts without words equal only each other if
 they are the same string; repeated rows give repeated rows of one class; ties (equal least ids) are the same class id;
-an empty table gives an empty result; other columns are not read. A class is named by its least id.
+very long texts are shingled whole; an empty table gives an empty result; other columns are not read by the query and
+passed on by ``first_of_each``. A class is named by its least id.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import dropped, shipped, slices, stored, table
+from loomwork.llm.common import dropped, shipped, slices, stored, table, unused
 from loomwork.llm.components import connected
 from loomwork.llm.quality_rules import BASE, mixed
 
@@ -262,7 +263,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     about = stored(nodes.drop("bands").join(central, "node"), "about", scratch)
     members = members.select("bucket", "node").join(counted(about.select("node", "met"), about.count()), "node")
     wanted = counted(about.select("key", "least", "node"), about.count())
-    texts = docs.join(wanted, "key").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+    # By key and id, so that the rows of a text that very many documents hold do not meet in one task.
+    named_by = wanted.withColumnRenamed("key", "its_key")
+    texts = docs.join(named_by, (F.col("key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
     owned = stored(texts.mapInArrow(_units, "node long, own binary").dropDuplicates(["node"]), "units", scratch)
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -321,12 +324,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each class one row with the class's least id; rows with null texts all stay."""
     _, named = classes(docs, id_col, text_col)
-    key = "__key"
-    while key in docs.columns:
-        key += "_"
-    winners = named.where("key = class_key").select(F.col("key").alias("__winner"), F.col("class_id").alias("__id"))
-    keyed = docs.withColumn(key, text_key(F.col(text_col).cast("string")))
-    texts = keyed.where(F.col(key).isNotNull()).join(winners, (F.col(key) == F.col("__winner")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    key, winner, least = (unused(name, docs) for name in ("__key", "__winner", "__least"))
+    winners = named.where("key = class_key").select(F.col("key").alias(winner), F.col("class_id").alias(least))
+    keyed = docs.withColumn(key, text_key(F.col(f"`{text_col}`").cast("string")))
+    own = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(least))
+    texts = keyed.where(F.col(key).isNotNull()).join(winners, (F.col(key) == F.col(winner)) & own, "left_semi")
     return texts.dropDuplicates([key, id_col]).unionByName(keyed.where(F.col(key).isNull())).drop(key)
 
 
