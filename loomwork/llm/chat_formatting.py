@@ -11,7 +11,8 @@ would end the header, becomes a backslash and n.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; repeated rows
 are turns of their own; rows with a null conversation id are one conversation with a null id; an empty table gives an
-empty result; other columns are not read. A conversation is one record, so it is assembled by one task.
+empty result; other columns are not read. A conversation is one record, so it is assembled by one task, whole however
+long its texts are.
 """
 
 from __future__ import annotations
