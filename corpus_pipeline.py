@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and reads nothing but docs, of which it works on every row; its result is written
 as Parquet and read again as the next one's docs. All but the last return the columns of ``documents``: rejected
 documents are gone, texts (and n_chars) are without their site's boilerplate lines, one document of each near-duplicate
-class stays, and documents stand in the mixture as often as it takes them. The last returns the pieces and their places.
+class stays, and documents stand in the mixture as often as it takes them, in the order of its slots. The last returns
+the pieces and their places.
+
+Defined results, besides the operators' own: the quality rules reject null, empty and very short texts, and repeated rows
+are each judged; of repeated rows the near-duplicate stage keeps one; very long texts go through whole; ties (rows of
+equal id) are told apart by text; a null source is a site and a source of its own; columns beside those of ``documents``
+are passed on whatever their names, up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import best_fit_packing, line_dedup, near_duplicates, quality_rules, source_mixing
-from loomwork.llm.common import shared_dir, shipped
+from loomwork.llm.common import shared_dir, shipped, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +31,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many of a source's documents have go; n_chars follows the text."""
-    clean = line_dedup.deduplicated(docs)
-    n_chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", n_chars).select(*docs.columns)
+    counts = unused("__lines", docs), unused("__dropped", docs)
+    clean = line_dedup.deduplicated(docs, counts=counts)
+    n_chars = F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
