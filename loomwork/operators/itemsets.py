@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.graph import settled
 
+#: Baskets of one task in the first pass of the partitioned form, which holds them in memory.
+BASKETS_PER_TASK = 100_000
+
 
 def baskets(df: DataFrame, basket: str, item: str, more_than: int = 0) -> DataFrame:
     """Distinct (basket, item) rows of baskets with more than so many items."""
@@ -77,8 +80,9 @@ def local_candidates(frames: Iterable[pd.DataFrame], support: float, total: int,
 def son_itemsets(rows: DataFrame, support: int, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates, frequent): pass 1 finds candidates within partitions of whole baskets, pass 2 counts them all."""
     total = rows.select("basket").distinct().count()
-    # a task's share of the support is 4 at least, since at a share of 1 every subset of a basket is a candidate
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A task holds a bounded number of baskets, and its share of the support is 4 at least, since at a share of 1 every
+    # subset of a basket is a candidate.
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BASKETS_PER_TASK))
     dealt = rows.repartition(max(1, min(parts, support // 4)), "basket")
     kind = rows.schema["item"].dataType.simpleString()
     candidates = dealt.mapInPandas(lambda frames: local_candidates(frames, support, total, most), f"items array<{kind}>").distinct()

@@ -24,13 +24,14 @@ def coefficients(i: Column, n: int) -> tuple[Column, Column]:
     return a[i], b[i]
 
 
-def signatures(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
+def signatures(sets: DataFrame, item: str, member: str, hashes: int = HASHES, *also: Column) -> DataFrame:
     """(item, signature): the least hash of each item's members, for each hash function; member is a long below 2^31.
+    also: other aggregates of the same pass.
 
     Minima are an array of partial aggregates: no row per hash is shuffled."""
     a, b = coefficient_lists(hashes)
     least = [F.min(affine(F.col(member).cast("long"), a[i], b[i], PRIME)) for i in range(hashes)]
-    return sets.groupBy(item).agg(F.array(*least).alias("signature"))
+    return sets.groupBy(item).agg(F.array(*least).alias("signature"), *also)
 
 
 def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
@@ -38,10 +39,10 @@ def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> Da
     return signatures(sets, item, member, hashes).select(item, F.posexplode("signature").alias("i", "value"))
 
 
-def bands(signed: DataFrame, item: str, rows: int = ROWS, hashes: int = HASHES) -> DataFrame:
-    """(item, bucket): a 64-bit hash of each band's number and values, straight from the signature."""
+def bands(signed: DataFrame, item: str, rows: int = ROWS, hashes: int = HASHES, *also: str) -> DataFrame:
+    """(item, also, bucket): a 64-bit hash of each band's number and values, straight from the signature."""
     parts = [F.xxhash64(F.lit(k), *[F.col("signature")[k * rows + r] for r in range(rows)]) for k in range(hashes // rows)]
-    return signed.select(item, F.explode(F.array(*parts)).alias("bucket"))
+    return signed.select(item, *also, F.explode(F.array(*parts)).alias("bucket"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, item: str, member: str, least: float) -> DataFrame:
@@ -73,15 +74,17 @@ def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, has
     and are told apart at the end. A bucket pairs its sets if they are few and their sizes allow the similarity; the sets of
     larger buckets meet by rare members instead, which misses none of their pairs and keeps hot buckets from being squared."""
     sets = settled(distinct_sets(sets, item, member))
-    whole = sets.groupBy("item").agg(F.array_sort(F.collect_set("member")).alias("own"))
-    same = settled(whole.withColumn("first", F.min("item").over(Window.partitionBy("own"))).select("item", "first", F.size("own").alias("size")))
-    copies = same.where("item != first").select("item", "first")
+    # Equal sets have equal 128-bit sums of their members' hashes; one pass gives these, the sizes and the signatures.
+    sums = F.struct(F.bit_xor(F.xxhash64("member")), F.bit_xor(F.xxhash64("member", F.lit(1))))
+    signed = settled(signatures(sets, "item", "member", hashes, F.count("*").alias("size"), sums.alias("sums")))
+    first = signed.groupBy("sums", "size").agg(F.min("item").alias("first"), F.count("*").alias("n")).where("n > 1")
+    same = settled(signed.select("item", "sums", "size").join(first, ["sums", "size"]).select("item", "first"))
+    copies = same.where("item != first").select("item")
     alone = copies.isEmpty()
-    once = sets if alone else sets.join(same.where("item = first").select("item"), "item", "left_semi")
-    own = bands(signatures(once, "item", "member", hashes), "item", rows, hashes)
+    once, kept = (sets, signed) if alone else (x.join(copies, "item", "left_anti") for x in (sets, signed))
+    own = bands(kept, "item", rows, hashes, "size")
     # Few buckets hold more than one set: only those are joined with themselves, and signatures are computed once.
-    own = own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
-    own = settled(own.join(same.select("item", "size"), "item"))
+    own = settled(own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
     few = own.where(F.col("n") <= BUCKET_MEMBERS).select("item", "bucket", "size")
     pairs = few.toDF("id_1", "bucket", "size_1").join(few.toDF("id_2", "bucket", "size_2"), "bucket")
     pairs = pairs.where((F.col("id_1") < F.col("id_2")) & (F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2"))).select("id_1", "id_2")
@@ -91,10 +94,10 @@ def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, has
     found = verified(pairs.distinct(), once, "item", "member", least)
     if alone:
         return found
-    groups = same.select("first", "item")
-    across = found.join(groups.toDF("id_1", "x"), "id_1").join(groups.toDF("id_2", "y"), "id_2")
-    within = groups.toDF("first", "x").join(groups.toDF("first", "y"), "first").where("x < y").withColumn("similarity", F.lit(1.0))
-    both = across.select("x", "y", "similarity").unionByName(within.select("x", "y", "similarity"))
+    x, y = same.select(F.col("first").alias("id_1"), F.col("item").alias("x")), same.select(F.col("first").alias("id_2"), F.col("item").alias("y"))
+    across = found.join(x, "id_1", "left").join(y, "id_2", "left").select(F.coalesce("x", "id_1").alias("x"), F.coalesce("y", "id_2").alias("y"), "similarity")
+    within = x.join(y, F.col("id_1") == F.col("id_2")).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
+    both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "similarity")
 
 

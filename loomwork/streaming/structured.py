@@ -15,10 +15,12 @@ def state_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A file stream of one table; ``ts`` becomes a timestamp with zone, which watermarks need."""
+def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_batch: int | None = None) -> DataFrame:
+    """A file stream of one table, or of the files that name, a pattern, matches; ``ts`` becomes a timestamp with zone, which
+    watermarks need. files_per_batch makes micro-batches of so many files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    raw = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -6,6 +6,7 @@ import struct
 from collections import Counter
 from itertools import combinations
 
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -16,7 +17,7 @@ from loomwork.functions import scalars
 from loomwork.operators import cluster, features, graph, itemsets, recommend, relational, similarity
 from loomwork.plans import graphs, mining, registry
 from loomwork.sources import readers, sinks, storage
-from loomwork.streaming import sketches
+from loomwork.streaming import sketches, structured
 
 
 def edges(spark, *pairs):
@@ -280,6 +281,17 @@ def test_sampled_stream_by_its_hash(spark, sf_dir):
     assert sorted((r["seq"], r["batch"], r["key"], r["c_name"]) for r in registry.QUERIES["sampled_stream"](spark, sf_dir).collect()) == want
 
 
+def test_stream_in_micro_batches(spark, sf_dir, tmp_path):
+    events = pq.read_table(f"{sf_dir}/events.parquet")
+    for k in range(3):
+        pq.write_table(events.slice(k * 100, 100), tmp_path / f"events-{k}.parquet")
+    stream = structured.event_stream(spark, str(tmp_path), "events-*", files_per_batch=1)
+    out = structured.in_batches(stream, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")))
+    assert {r["batch"]: r["n"] for r in out.groupBy("batch").agg(F.sum("n").alias("n")).collect()} == {0: 100, 1: 100, 2: 100}
+    want = Counter(events.column("event_type").to_pylist()[:300])
+    assert {r["event_type"]: r["n"] for r in out.groupBy("event_type").agg(F.sum("n").alias("n")).collect()} == want
+
+
 def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
     class Conf(dict):
         def get(self, key, default=None):
