@@ -10,7 +10,7 @@ text holds no control string but the template's, and ``unescaped`` gives the tex
 would end the header, becomes a backslash and n.
 
 Defined results: null texts and roles are empty strings; turns of equal number go by role, then text; repeated rows
-are turns of their own; rows with a null conversation id are one conversation with a null id; an empty table gives an
+are turns of their own; a row without a conversation id is a conversation of its own; an empty table gives an
 empty result; other columns are not read. A conversation is one record, so it is assembled by one task, whole however
 long its texts are.
 """
@@ -73,7 +73,7 @@ def assembled(rows: pa.Table) -> pa.RecordBatch:
     scatter(out, begins[1:] - len(fd), np.tile(fd, len(text)), np.arange(len(text) + 1) * len(fd))
     ids = rows.column("conv_id").combine_chunks()
     keys, missing = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (missing[1:] != missing[:-1])])
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | missing[1:] | missing[:-1]])
     edges = np.r_[first, len(text)]
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(begins[edges].astype(np.int64).tobytes()), pa.py_buffer(out))
     # The same offsets in code points give the loss mask.
@@ -94,8 +94,8 @@ def _assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(batch), 1000):
             part = pa.Table.from_batches([batch.slice(k, 1000)])
             ids = part.column("conv_id").to_pylist()
-            cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i] != ids[i - 1]), None)
-            if cut is None and held and held[-1].column("conv_id")[-1].as_py() != ids[0]:
+            cut = next((i for i in range(len(ids) - 1, 0, -1) if ids[i] is None or ids[i] != ids[i - 1]), None)
+            if cut is None and held and (ids[0] is None or held[-1].column("conv_id")[-1].as_py() != ids[0]):
                 cut = 0
             if cut is not None and size + part.nbytes > BATCH_BYTES:
                 held.append(part.slice(0, cut))
@@ -111,7 +111,9 @@ def chat_formatted(df: DataFrame) -> DataFrame:
     """conv_id, formatted, n_turns, loss_starts, loss_ends (code points) from rows of conv_id, turn, role, text."""
     shipped(df.sparkSession)
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
+    # Rows without an id go wherever there is room: they share no record.
+    lone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text", F.monotonically_increasing_id()))
+    rows = rows.withColumn("lone", lone).repartition("conv_id", "lone").drop("lone").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_assemble, "conv_id long, formatted string, n_turns long, loss_starts array<long>, loss_ends array<long>")
 
 
@@ -148,6 +150,6 @@ ORACLE_SQL = f"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = '{LOSS_ROLE}'), '') AS loss,
-    CAST(sum({len(OPEN)} + length(role) + 1 + length({_ESCAPED.format("text")}) + {len(CLOSE)}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+    CAST(sum({len(OPEN)} + length(role) + 1 + length({_ESCAPED.format("text")}) + {len(CLOSE)}) AS BIGINT) AS formatted_chars FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM c) GROUP BY conv_id, lone)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """

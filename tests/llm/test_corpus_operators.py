@@ -25,13 +25,16 @@ ODD = [(1, None), (2, ""), (3, " \n "), (4, "one two"), (4, "one two"), (None, "
 
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "\\", "\\\\</s>", "<<SYS>>\\n<s>", "<\\/s>", "é🙂\n\n", "", None]
-    turns = [(c, t, random.choice(["user", "assistant", "a\nb</s>", None]), said[(c + t) % len(said)]) for c in range(30) for t in range(c % 5 + 1)] + [(None, 0, "user", "x"), (7, 0, "user", "tie")]
+    turns = [(c, t, random.choice(["user", "assistant", "a\nb</s>", None]), said[(c + t) % len(said)]) for c in range(30) for t in range(c % 5 + 1)] + [(None, 0, "user", "x"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (7, 0, "user", "tie")]
     random.seed(3)
     df = spark.createDataFrame(random.sample(turns, len(turns)), "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     want = defaultdict(list)
     for c, t, role, text in sorted(turns, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
         want[c].append((role or "", text or ""))
-    got = {r["conv_id"]: r for r in chat_formatting.chat_formatted(df).collect()}
+    rows = chat_formatting.chat_formatted(df).collect()
+    lone = [chat_formatting.read_back(r["formatted"]) for r in rows if r["conv_id"] is None]
+    assert sorted(lone) == sorted([turn] for turn in want.pop(None))
+    got = {r["conv_id"]: r for r in rows if r["conv_id"] is not None}
     assert got.keys() == want.keys()
     for c, r in got.items():
         assert chat_formatting.read_back(r["formatted"]) == want[c]
