@@ -150,7 +150,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = shares.where("taken > 0").withColumn("copies", copies).where("copies > 0")
     slot = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies")), lambda k: F.struct(F.get("slots", F.least(k, F.size("slots")) - 1).alias("slot"), F.col("begin").alias("begin"), k.alias("copy")))
     out = keyed.join(shares.select(F.col("row").alias(row), slot.alias(mix)), row).withColumn(mix, F.explode(mix))
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-words // WORDS_PER_PART))
+    n = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-words // WORDS_PER_PART))
     part = F.floor(F.col(mix)["slot"] * n / max(1, n_slots))
     dealt = out.repartitionById(n, F.least(part, F.lit(n - 1)).cast("int")).sortWithinPartitions(mix)
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
