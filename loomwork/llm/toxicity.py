@@ -62,6 +62,30 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array([c[t] for t in part], pa.int64()) for c in (both[1], both[0]))], names=["term", "ones", "zeros"])
 
 
+class SegmentSums:
+    """Sums of table rows: the table's row picked[i] is added to segment at[i]; at is sorted. The rows are gathered into one
+    buffer of about BUFFER_ROWS, a block of whole segments at a time."""
+
+    BUFFER_ROWS = 1 << 15
+
+    def __init__(self, picked: np.ndarray, at: np.ndarray, n: int, width: int):
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        filled, ends = at[starts], np.append(starts[1:], len(at))
+        self.picked, self.out, self.blocks = picked, np.zeros((n, width)), []
+        k = 0
+        while k < len(starts):
+            last = max(k + 1, int(np.searchsorted(ends, starts[k] + self.BUFFER_ROWS, "right")))
+            self.blocks.append((int(starts[k]), int(ends[last - 1]), starts[k:last] - starts[k], filled[k:last]))
+            k = last
+        self.buffer = np.empty((max((end - first for first, end, _, _ in self.blocks), default=0), width))
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        for first, end, starts, filled in self.blocks:
+            held = np.take(table, self.picked[first:end], axis=0, out=self.buffer[: end - first], mode="clip")
+            self.out[filled] = np.add.reduceat(held, starts, axis=0)
+        return self.out
+
+
 class FactorizationMachine:
     """Terms, sorted, with weights and factors; a text is the set of its known terms."""
 
@@ -93,15 +117,23 @@ class FactorizationMachine:
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     def fit(self, rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the whole sample."""
+        """Adam on the whole sample; (row, term) pairs are sorted by row. Each step sums the factors over the terms of every
+        row, then the errors over the rows of every term, all columns at once and in arrays that are made once."""
+        n, n_terms = len(y), len(self.w)
+        order = np.argsort(cols, kind="stable")
+        over_terms, over_rows = SegmentSums(cols, rows, n, RANK + 2), SegmentSums(rows[order], cols[order], n_terms, RANK + 1)
+        values, errors = np.empty((n_terms, RANK + 2)), np.empty((n, RANK + 1))
         m = [np.zeros(1), np.zeros_like(self.w), np.zeros_like(self.v)]
         s = [x.copy() for x in m]
         for step in range(1, STEPS + 1):
-            z, sums = self.raw(rows, cols, len(y))
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-            e = error[rows]
-            g_v = np.stack([np.bincount(cols, e * (sums[rows, f] - self.v[cols, f]), len(self.w)) for f in range(RANK)], axis=1)
-            for k, g in enumerate((np.array([error.sum()]), np.bincount(cols, e, len(self.w)) + DECAY * self.w / len(self.w), g_v + DECAY * self.v / len(self.w))):
+            values[:, 0], values[:, 1], values[:, 2:] = self.w, (self.v**2).sum(axis=1), self.v
+            held = over_terms(values)
+            z = self.bias + held[:, 0] + 0.5 * ((held[:, 2:] ** 2).sum(axis=1) - held[:, 1])
+            errors[:, 0] = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+            np.multiply(held[:, 2:], errors[:, :1], out=errors[:, 1:])
+            sent = over_rows(errors)
+            g_w, g_v = sent[:, 0], sent[:, 1:] - self.v * sent[:, :1]
+            for k, g in enumerate((np.array([errors[:, 0].sum()]), g_w + DECAY * self.w / n_terms, g_v + DECAY * self.v / n_terms)):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.999 * s[k] + 0.001 * g * g
                 move = RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)

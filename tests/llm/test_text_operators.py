@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 from statistics import NormalDist, mean, pstdev
@@ -312,6 +313,28 @@ def test_scores_are_the_sum_over_pairs(spark):
     assert np.allclose(got, want)
 
 
+def test_fit_needs_little_beside_its_pairs(monkeypatch):
+    """The fit is the gradient of every pair, in one buffer: no array of (pairs, factors) is made, and empty texts and terms
+    that no text holds do no harm."""
+    rng = np.random.default_rng(4)
+    n, n_terms = 4_000, 500
+    rows = np.repeat(np.arange(n), np.where(np.arange(n) % 7 == 0, 0, 120))
+    cols = np.concatenate([np.sort(rng.choice(n_terms - 1, 120, replace=False)) for k in range(n) if k % 7])
+    y = (rng.random(n) < 0.3).astype(float)
+    table, got = rng.normal(size=(n_terms, 3)), np.zeros((n, 3))
+    np.add.at(got, rows, table[cols])
+    assert np.allclose(toxicity.SegmentSums(cols, rows, n, 3)(table), got)
+    model = toxicity.FactorizationMachine(np.arange(n_terms), 0.0)
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    tracemalloc.start()
+    try:
+        model.fit(rows, cols, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 * len(cols)
+    assert model.w[n_terms - 1] == 0 and np.isfinite(model.v).all() and model.bias < 0
+
 def test_sample_is_bounded_by_rows(spark, docs_of):
     """An id that repeats in the documents is one row of the sample."""
     docs = docs_of(*[(k % 4, f"vile {k}" if k % 2 else f"kind {k}") for k in range(400)])
