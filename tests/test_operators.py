@@ -170,6 +170,26 @@ def test_collaborative_filtering(spark):
     assert got["u1", "i3"] == 5.0 and math.isclose(got["new", "i1"], 10 / 3) and got["u1", "new"] == 4.0 and got["new", "new"] == 3.0
 
 
+def test_weights_of_all_pairs_over_blocks(spark, monkeypatch):
+    """Items in several blocks, slices and passes; odd rows. The only exchanges hold ratings or blocks, none holds pairs."""
+    for name, value in (("BLOCK_ITEMS", 7), ("CELLS", 20), ("MEETINGS", 5)):
+        monkeypatch.setattr(recommend, name, value)
+    rng = random.Random(5)
+    stars = {(f"u{u}", f"i{i}"): float(rng.randint(1, 5)) for i in range(24) for u in rng.sample(range(12), rng.randint(1, 6))}
+    odd = [("u1", "alone", None), (None, "unrated", 3.0), ("u2", None, 1.0)]
+    rated = spark.createDataFrame([(*k, v) for k, v in stars.items()] + odd, "user string, item string, stars double")
+    got = {(r["item"], r["other"]): (r["weight"], r["common"]) for r in recommend.item_weights(None, rated).collect()}
+    items = sorted({i for _, i in stars} | {"alone", "unrated"})
+    assert sorted(got) == list(combinations(items, 2))
+    pairs = spark.createDataFrame(list(combinations(items, 2)), "item string, other string")
+    for r in recommend.item_weights(pairs, rated).collect():
+        weight, common = got[r["item"], r["other"]]
+        assert common == r["common"] and math.isclose(weight, r["weight"], abs_tol=1e-9), r
+    plan = recommend.item_weights(None, rated)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert recommend.item_weights(None, rated.limit(0)).count() == 0
+
+
 def test_scalars(spark):
     one = spark.createDataFrame([("hG7b0MtEbXx5QzbzE6C_VA", 0, "None"), ("é", 1, "a,b"), ("", 8, None)], "s string, n long, l string")
     rows = one.select(scalars.utf8_mod(F.col("s"), 69_997), scalars.trailing_zeros(F.col("n")), scalars.list_length(F.col("l"))).collect()
