@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.sources.storage import settled
+from loomwork.sources.storage import settled, stored
 
 
 def memberships(rows: DataFrame, node: str, item: str) -> DataFrame:
@@ -22,20 +22,53 @@ def co_occurrence(rows: DataFrame, node: str, item: str) -> DataFrame:
     return rows.toDF("src", "item").join(rows.toDF("dst", "item"), "item").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+#: Items up to which all pairs of a node's items are formed; pairs of nodes whose ids are broadcast.
+MOST_PAIRED, MOST_BROADCAST = 32, 500_000
+
+
 def overlapping(rows: DataFrame, node: str, item: str, least: int) -> DataFrame:
-    """(src, dst, weight) of the pairs of nodes that share ``least`` items or more. Such a pair shares one among the
-    rarest n - least + 1 of each one's n items, so only those are joined: an item that most nodes have stays out of the
-    join unless a node has hardly rarer ones. Weights are then counted over all items of the pairs that met."""
-    rows = settled(memberships(rows, node, item))
-    often = rows.groupBy("item").agg(F.count("*").alias("often"))
-    own = Window.partitionBy("node")
-    ranked = rows.join(often, "item").select("node", "item", F.row_number().over(own.orderBy("often", "item")).alias("rank"), F.count("*").over(own).alias("n"))
-    rare = ranked.where(F.col("rank") <= F.col("n") - (least - 1)).select("node", "item")
-    met = rare.toDF("src", "item").join(rare.toDF("dst", "item"), "item").where("src < dst").select("src", "dst").distinct()
-    counted = met.join(rows.toDF("src", "item"), "src").join(rows.toDF("dst", "item"), ["dst", "item"])
+    """(src, dst, weight) of the pairs of nodes that share ``least`` items or more. Such a pair shares two among the rarest
+    n - least + 2 of each one's n items, and one among the rarest n - least + 1. Nodes of up to MOST_PAIRED items meet in
+    pairs of items, so that hardly any two meet that do not share as many; a larger one meets others in single rare items.
+    Weights are then counted over all items of the nodes that met."""
+    if least < 2:
+        return co_occurrence(rows, node, item)
+    rows = rows.select(F.col(node).alias("node"), F.col(item).alias("item")).where("node is not null and item is not null").repartition("node").distinct()
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("node"))).where(F.col("n") >= least)
+    # One row for a small node; a large one keeps a row for each item. All in the one shuffle by node.
+    sets = stored(rows.groupBy("node", "n", F.when(F.col("n") > MOST_PAIRED, F.col("item")).alias("part")).agg(F.collect_list("item").alias("items")).drop("part"), "sets")
+    every = sets.select("node", "n", F.explode("items").alias("item"))
+    small, alone = F.col("n") <= MOST_PAIRED, sets.where(F.col("n") > MOST_PAIRED).isEmpty()
+    prefixes = sets.where(small).select("node", "items")
+    if least > 2 or not alone:
+        often = every.groupBy("item").agg(F.count("*").alias("often"))
+        ranked = every.join(often, "item").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("often", "item")))
+    if least > 2:
+        prefixes = ranked.where(small & (F.col("rank") <= F.col("n") - (least - 2))).groupBy("node").agg(F.collect_list("item").alias("items"))
+    met = met_in_two(prefixes)
+    if not alone:
+        rare = ranked.where(F.col("rank") <= F.col("n") - (least - 1)).select("node", "item", "n")
+        large = rare.where(~small).select(F.col("node").alias("x"), "item")
+        others = rare.select(F.col("node").alias("y"), "item", small.alias("small")).join(large, "item").where("small or x < y")
+        met = met.unionByName(others.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct())
+    met = stored(met, "met")
+    if met.count() <= MOST_BROADCAST:
+        ids = met.select(F.col("src").alias("node")).union(met.select("dst")).distinct()
+        every = every.join(F.broadcast(ids), "node", "left_semi")
+    counted = met.join(every.select(F.col("node").alias("src"), "item"), "src").join(every.select(F.col("node").alias("dst"), "item"), ["dst", "item"])
     return counted.groupBy("src", "dst").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
 
 
+def met_in_two(sets: DataFrame) -> DataFrame:
+    """(src, dst), src < dst, of the nodes of (node, items) that share two items. What is shuffled are the pairs of one
+    node's items, by a hash; the pairs of nodes that share but one are never formed."""
+    ordered = sets.select("node", F.sort_array("items").alias("items"))
+    firsts = ordered.select("node", "items", F.posexplode("items").alias("at", "p"))
+    pairs = firsts.select("node", "p", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("q"))
+    keyed = pairs.select(F.xxhash64("p", "q").alias("key"), "node")
+    return keyed.toDF("key", "src").join(keyed.toDF("key", "dst"), "key").where("src < dst").select("src", "dst").distinct()
+
+
 def heaviest(weighted: DataFrame, n: int) -> DataFrame:
     """The edges that weigh as much as the n-th heaviest, or more."""
     least = weighted.orderBy(F.col("weight").desc()).limit(n).agg(F.min("weight").alias("least"))

@@ -153,6 +153,28 @@ def test_overlap_threshold(spark):
         assert {(r["src"], r["dst"]): r["weight"] for r in graph.overlapping(rows, "n", "i", least).collect()} == want
 
 
+def test_overlap_of_small_and_large_nodes(spark, monkeypatch):
+    """Nodes of more items than are paired meet in rare single items; also where ids are too many to broadcast."""
+    rng = random.Random(6)
+    held = {k: set(rng.sample(range(25), rng.randint(0, 12))) | {99} for k in range(40)}
+    rows = spark.createDataFrame([(k, m) for k, own in held.items() for m in own] + [(None, 1), (1, None)], "n int, i int")
+    for paired, broadcast in ((5, 500), (0, 500), (32, -1)):
+        monkeypatch.setattr(graph, "MOST_PAIRED", paired)
+        monkeypatch.setattr(graph, "MOST_BROADCAST", broadcast)
+        for least in (2, 4):
+            want = {(a, b): len(held[a] & held[b]) for a, b in combinations(held, 2) if len(held[a] & held[b]) >= least}
+            assert {(r["src"], r["dst"]): r["weight"] for r in graph.overlapping(rows, "n", "i", least).collect()} == want
+
+
+def test_nodes_meet_only_if_they_share_two_items(spark, monkeypatch):
+    """Of 300 nodes every two share an item that all have, and neighbours share one more: only neighbours meet."""
+    kept = {}
+    monkeypatch.setattr(graph, "stored", lambda df, what="step": kept.setdefault(what, df.cache()))
+    rows = spark.createDataFrame([(k, m) for k in range(300) for m in (9999, 2 * (k // 2))], "n int, i int")
+    assert graph.overlapping(rows, "n", "i", 2).count() == 150
+    assert kept["met"].count() == 150
+
+
 def test_credits_of_one_root(spark):
     """A square with a tail: d has two shortest paths from a, and passes on what it and e have in halves."""
     given = edges(spark, "ab", "ac", "bd", "cd", "de")
