@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loomwork.functions.scalars import affine
-from loomwork.operators.graph import settled
+from loomwork.sources.storage import stored
+from loomwork.sources.workers import shipped
 
 PRIME, HASHES, ROWS = 2_147_483_647, 100, 2
 #: Members up to which a bucket's pairs are all formed; larger ones go through rare members instead.
 BUCKET_MEMBERS = 64
+#: Rows of a table up to which it is broadcast; members that one numpy pass holds about.
+MOST_BROADCAST, MEMBERS = 500_000, 1 << 15
 
 
 def coefficient_lists(n: int) -> tuple[list[int], list[int]]:
@@ -24,14 +33,13 @@ def coefficients(i: Column, n: int) -> tuple[Column, Column]:
     return a[i], b[i]
 
 
-def signatures(sets: DataFrame, item: str, member: str, hashes: int = HASHES, *also: Column) -> DataFrame:
+def signatures(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
     """(item, signature): the least hash of each item's members, for each hash function; member is a long below 2^31.
-    also: other aggregates of the same pass.
 
     Minima are an array of partial aggregates: no row per hash is shuffled."""
     a, b = coefficient_lists(hashes)
     least = [F.min(affine(F.col(member).cast("long"), a[i], b[i], PRIME)) for i in range(hashes)]
-    return sets.groupBy(item).agg(F.array(*least).alias("signature"), *also)
+    return sets.groupBy(item).agg(F.array(*least).alias("signature"))
 
 
 def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> DataFrame:
@@ -39,10 +47,45 @@ def minhash(sets: DataFrame, item: str, member: str, hashes: int = HASHES) -> Da
     return signatures(sets, item, member, hashes).select(item, F.posexplode("signature").alias("i", "value"))
 
 
-def bands(signed: DataFrame, item: str, rows: int = ROWS, hashes: int = HASHES, *also: str) -> DataFrame:
-    """(item, also, bucket): a 64-bit hash of each band's number and values, straight from the signature."""
-    parts = [F.xxhash64(F.lit(k), *[F.col("signature")[k * rows + r] for r in range(rows)]) for k in range(hashes // rows)]
-    return signed.select(item, *also, F.explode(F.array(*parts)).alias("bucket"))
+def bucketed(sets: DataFrame, rows: int = ROWS, hashes: int = HASHES) -> DataFrame:
+    """(item, size, mask, bucket) of (item, members): the buckets of a signature's bands, each once. A band is told by the
+    members that gave its least values, in any order, not by its number: values go back to members, since the hashes are
+    one-to-one below PRIME. So bands that chose the same members are one bucket, and a small set is in few. Signatures are
+    made in arrays, and never leave the task. mask has a bit of 64 for each member."""
+    shipped(sets.sparkSession)
+    a, b = (np.array(x) for x in coefficient_lists(hashes))
+    back = np.array([pow(int(x), -1, PRIME) for x in a])
+
+    def made(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Masks, buckets of all sets one after the other, and how many each has."""
+        chosen = np.stack([(np.minimum.reduceat((x * flat + y) % PRIME, starts) - y) % PRIME * z % PRIME for x, y, z in zip(a, b, back)], axis=1)
+        ordered = np.sort(chosen[:, : hashes // rows * rows].reshape(len(starts), -1, rows), axis=2)
+        keys = ordered[:, :, 0]
+        for k in range(1, rows):  # two members fit a long, more are hashed
+            keys = (keys << 31 if rows == 2 else keys * 6_364_136_223_846_793_005) + ordered[:, :, k]
+        keys = np.sort(keys, axis=1)
+        once = np.diff(keys, axis=1, prepend=0) != 0
+        once[:, 0] = True
+        bits = np.uint64(1) << ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+        return np.bitwise_or.reduceat(bits, starts).view(np.int64), keys[once], once.sum(axis=1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(1)
+            sizes, flat = pc.list_value_length(members).to_numpy().astype(np.int64), members.flatten().to_numpy()
+            ends = np.cumsum(sizes)
+            first = done = 0
+            while first < len(sizes):
+                last = max(first + 1, int(np.searchsorted(ends, done + MEMBERS, "right")))
+                masks, keys, n = made(flat[done : ends[last - 1]], ends[first:last] - sizes[first:last] - done)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sizes[first:last]), pa.array(masks), lists], names=["item", "size", "mask", "buckets"])
+                first, done = last, int(ends[last - 1])
+
+    kinds = {"item": sets.schema["item"].dataType, "size": LongType(), "mask": LongType(), "buckets": ArrayType(LongType(), False)}
+    # Nothing is null: a filter that one user of the buckets has and another not would shuffle them twice.
+    held = sets.select("item", F.col("members").cast("array<long>")).mapInArrow(run, StructType([StructField(k, v, False) for k, v in kinds.items()]))
+    return held.select("item", "size", "mask", F.explode("buckets").alias("bucket"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, item: str, member: str, least: float) -> DataFrame:
@@ -69,29 +112,40 @@ def distinct_sets(sets: DataFrame, item: str, member: str) -> DataFrame:
     return sets.select(F.col(item).alias("item"), F.col(member).alias("member")).where("item is not null and member is not null").distinct()
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """rows of a stored table, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
-    """Pairs by MinHash and banding, verified exactly. At 0.5 a pair is missed with (1 - 0.25)^50. Equal sets meet as one
-    and are told apart at the end. A bucket pairs its sets if they are few and their sizes allow the similarity; the sets of
-    larger buckets meet by rare members instead, which misses none of their pairs and keeps hot buckets from being squared."""
-    sets = settled(distinct_sets(sets, item, member))
-    # Equal sets have equal 128-bit sums of their members' hashes; one pass gives these, the sizes and the signatures.
+    """Pairs by MinHash and banding, verified exactly. At 0.5 a pair is missed with (1 - 0.25)^50 at most. Equal sets meet as
+    one and are told apart at the end. A bucket pairs its sets if they are few and ``may_reach`` says so; the sets of
+    larger buckets meet by rare members instead, which misses none of their pairs and keeps hot buckets from being squared.
+    Rows are shuffled once by item for the copies and once for the signatures, and these never leave their task: what goes
+    on from there are buckets. sets is read up to four times."""
+    own = sets.select(F.col(item).alias("item"), F.col(member).alias("member")).where("item is not null and member is not null")
+    dealt = own.repartition("item").distinct()
+    # Equal sets have equal 128-bit sums of their members' hashes.
     sums = F.struct(F.bit_xor(F.xxhash64("member")), F.bit_xor(F.xxhash64("member", F.lit(1))))
-    signed = settled(signatures(sets, "item", "member", hashes, F.count("*").alias("size"), sums.alias("sums")))
-    first = signed.groupBy("sums", "size").agg(F.min("item").alias("first"), F.count("*").alias("n")).where("n > 1")
-    same = settled(signed.select("item", "sums", "size").join(first, ["sums", "size"]).select("item", "first"))
+    alike = Window.partitionBy("sums", "size")
+    told = dealt.groupBy("item").agg(F.count("*").alias("size"), sums.alias("sums")).withColumn("first", F.min("item").over(alike)).withColumn("n", F.count("*").over(alike))
+    same = stored(told.where("n > 1").select("item", "first"), "same")
     copies = same.where("item != first").select("item")
     alone = copies.isEmpty()
-    once, kept = (sets, signed) if alone else (x.join(copies, "item", "left_anti") for x in (sets, signed))
-    own = bands(kept, "item", rows, hashes, "size")
-    # Few buckets hold more than one set: only those are joined with themselves, and signatures are computed once.
-    own = settled(own.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
-    few = own.where(F.col("n") <= BUCKET_MEMBERS).select("item", "bucket", "size")
-    pairs = few.toDF("id_1", "bucket", "size_1").join(few.toDF("id_2", "bucket", "size_2"), "bucket")
-    pairs = pairs.where((F.col("id_1") < F.col("id_2")) & (F.least("size_1", "size_2") >= least * F.greatest("size_1", "size_2"))).select("id_1", "id_2")
-    crowd = settled(own.where(F.col("n") > BUCKET_MEMBERS).select("item").distinct())
+    once = dealt if alone else dealt.join(few(copies), "item", "left_anti")
+    held = bucketed(once.groupBy("item").agg(F.collect_list("member").alias("members")), rows, hashes)
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    paired = held.where(F.col("n") <= BUCKET_MEMBERS).select("bucket", "item", "size", "mask")
+    pairs = paired.toDF("bucket", "id_1", "size_1", "mask_1").join(paired.toDF("bucket", "id_2", "size_2", "mask_2"), "bucket").where((F.col("id_1") < F.col("id_2")) & may_reach(least))
+    # The crowd comes from the same shuffle, which is made once only if all its columns are asked for.
+    crowd = held.where(F.col("n") > BUCKET_MEMBERS).groupBy("item").agg(F.max(F.struct("size", "mask")).alias("told"))
+    met = pairs.select("id_1", "id_2", F.lit(None).cast(crowd.schema["told"].dataType).alias("told")).dropDuplicates(["id_1", "id_2"])
+    met = stored(met.unionByName(crowd.select(F.col("item").alias("id_1"), F.lit(None).cast(crowd.schema["item"].dataType).alias("id_2"), "told")), "met")
+    pairs, crowd = met.where("id_2 is not null").select("id_1", "id_2"), met.where("id_2 is null").select(F.col("id_1").alias("item"))
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(prefix_pairs(once.join(crowd, "item", "left_semi"), least))
-    found = verified(pairs.distinct(), once, "item", "member", least)
+        pairs = stored(pairs.unionByName(prefix_pairs(own.join(few(crowd), "item", "left_semi").distinct(), least)).distinct(), "pairs")
+    ids = pairs.select(F.col("id_1").alias("item")).union(pairs.select("id_2"))
+    found = verified(pairs, own.join(F.broadcast(ids.distinct()), "item", "left_semi") if pairs.count() <= MOST_BROADCAST else own, "item", "member", least)
     if alone:
         return found
     x, y = same.select(F.col("first").alias("id_1"), F.col("item").alias("x")), same.select(F.col("first").alias("id_2"), F.col("item").alias("y"))
@@ -101,6 +155,14 @@ def jaccard_lsh(sets: DataFrame, item: str, member: str, least: float = 0.5, has
     return both.select(F.least("x", "y").alias("id_1"), F.greatest("x", "y").alias("id_2"), "similarity")
 
 
+def may_reach(least: float) -> Column:
+    """Whether two sets can be similar enough, by their sizes and masks (a bit of 64 a member): they share at most as many
+    members as the masks share bits, and one more for every member whose bit another of its set has too."""
+    hidden = F.least(F.col("size_1") - F.bit_count("mask_1"), F.col("size_2") - F.bit_count("mask_2"))
+    common = F.bit_count(F.col("mask_1").bitwiseAND(F.col("mask_2"))) + hidden
+    return common / (F.col("size_1") + F.col("size_2") - common) >= least
+
+
 def jaccard_exact(sets: DataFrame, item: str, member: str, least: float = 0.5) -> DataFrame:
     """All pairs, exactly, by prefix filtering."""
     sets = distinct_sets(sets, item, member)

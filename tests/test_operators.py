@@ -144,6 +144,34 @@ def test_jaccard_with_equal_sets_and_crowded_buckets(spark, monkeypatch, bucket_
         assert {(r["id_1"], r["id_2"]): r["similarity"] for r in join(sets, "k", "m").collect()} == want
 
 
+def test_bucketed_sets_meet_where_bands_do(spark):
+    """Buckets are those of the signatures' bands, each once: sets that agree in a band's values share a bucket, those that
+    share one have chosen the same members; a small set is in few."""
+    rng = random.Random(3)
+    held = {k: rng.sample(range(1, 40), rng.randint(1, 9)) for k in range(40)}
+    sets = spark.createDataFrame(list(held.items()), "item long, members array<int>")
+    found = {}
+    for r in similarity.bucketed(sets).collect():
+        found.setdefault(r["item"], set()).add(r["bucket"])
+        assert r["size"] == len(held[r["item"]]) and r["mask"] != 0
+    a, b = similarity.coefficient_lists(similarity.HASHES)
+    least = lambda own, i: min(own, key=lambda m: (a[i] * m + b[i]) % similarity.PRIME)
+    for k, own in held.items():
+        chosen = {tuple(sorted((least(own, i), least(own, i + 1)))) for i in range(0, similarity.HASHES, 2)}
+        assert found[k] == {(x << 31) + y for x, y in chosen} and len(found[k]) <= len(own) * (len(own) + 1) // 2
+    assert {r["bucket"] < 0 for r in similarity.bucketed(sets, 3, 9).collect()} <= {True, False}
+
+
+def test_only_sets_that_may_be_similar_meet(spark, monkeypatch):
+    """60 sets share one member and nothing else, and each has a near copy: only the near copies are looked at."""
+    kept = {}
+    monkeypatch.setattr(similarity, "stored", lambda df, what="step": kept.setdefault(what, df.cache()))
+    held = {2 * k + j: [9999, *range(10 * k, 10 * k + 6 + j)] for k in range(30) for j in (0, 1)}
+    rows = spark.createDataFrame([(k, m) for k, own in held.items() for m in own], "s long, m int")
+    assert {(r["id_1"], r["id_2"]) for r in similarity.jaccard_lsh(rows, "s", "m").collect()} == {(2 * k, 2 * k + 1) for k in range(30)}
+    assert kept["met"].where("id_2 is not null").count() <= 40 < 60 * 59 // 2
+
+
 def test_overlap_threshold(spark):
     rng = random.Random(4)
     held = {k: set(rng.sample(range(30), rng.randint(0, 9))) | {99} for k in range(40)}
